@@ -219,7 +219,7 @@ def encode_documents(docs: DataFrame, path: str, *, with_ids: bool = False) -> D
                 if with_ids:
                     lists.append([int(i) for i in joined.split(" ")] if joined else [])
             cols = [batch.column(0), *map(pa.array, (n, ids, plain), (f.type for f in kept[:3]))]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(lists, kept[3].type)] * with_ids, names=["doc_id", *(f.name for f in kept)])
+            yield pa.RecordBatch.from_arrays(cols + ([pa.array(lists, kept[3].type)] if with_ids else []), names=["doc_id", *(f.name for f in kept)])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
