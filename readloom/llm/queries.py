@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, quality, secrets, simhash
+from . import bpe, chat, kdtree, langid, linededup, mixing, quality, secrets, simhash
 from .common import table
 
 
@@ -40,13 +40,25 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_simhash, op4_mixing, op5_secret_scans, op10_bpe)}
+    return {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_simhash, op4_mixing, op5_secret_scans, op7_line_dedup, op8_language_id, op9_top_k, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE_SQL}
+    return {"op4_mixing": mixing.ORACLE_SQL, "op7_line_dedup": linededup.ORACLE_SQL, "op9_top_k": kdtree.ORACLE_SQL}
