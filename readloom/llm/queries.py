@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, kdtree, langid, linededup, mixing, quality, secrets, simhash
+from . import bpe, chat, kdtree, langid, licenses, linededup, mixing, quality, secrets, simhash
 from .common import table
 
 
@@ -40,6 +40,10 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_simhash, op4_mixing, op5_secret_scans, op7_line_dedup, op8_language_id, op9_top_k, op10_bpe)}
+    return {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_simhash, op4_mixing, op5_secret_scans, op6_license_scans, op7_line_dedup, op8_language_id, op9_top_k, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
