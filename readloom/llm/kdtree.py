@@ -125,7 +125,7 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     rows = vectors.filter(F.col("embedding").isNotNull() & whole & F.col("vec_id").isNotNull())
     rows = stored(rows.select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("double")).alias("v")))
-    asked = rows.filter(F.col("vec_id") % every == 0).distinct()
+    asked = stored(rows.filter(F.col("vec_id") % every == 0).distinct())
     n, m = rows.count(), asked.count()
     shards, blocks = max(1, math.ceil(n / SHARD_ROWS)), max(1, math.ceil(m / BLOCK_QUERIES))
     shard, block = F.pmod(F.xxhash64("vec_id", F.lit("shard")), F.lit(shards)), F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks))
