@@ -37,8 +37,10 @@ _LETTERS = np.frombuffer(BASES.encode(), np.uint8)
 _KNOWN = np.zeros(256, bool)
 _KNOWN[list(ALPHABET.encode())] = True
 _SHORT = [bytes([k]) if k < 128 else b"" for k in range(128)]
-_NOT_LETTERS = bytes(set(range(256)) - set(ALPHABET.encode()))
-_NOT_PRINTED = bytes(set(range(256)) - set(range(33, 127)))
+_CODES = _CODE.tobytes()
+#: The four letters of each byte, as one number in memory.
+_QUADS = np.ascontiguousarray(_LETTERS[np.arange(256, dtype=np.uint8)[:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3]).view(np.uint32).reshape(256)
+_PRINTED = bytes(range(33, 127))
 
 
 def varint(n: int) -> bytes:
@@ -91,27 +93,47 @@ def shape_fault(r: Read) -> bool:
 
 
 def validate(reads: list[Read]) -> None:
-    for r in reads:
-        if shape_fault(r):
-            raise EngineError(USAGE, f"bad record {r[0][:60]!r}")
-    letters, printed = b"".join([r[2] for r in reads]), b"".join([r[3] for r in reads])
-    if len(letters.translate(None, _NOT_LETTERS)) != len(letters):
+    if bad := next(filter(shape_fault, reads), None):
+        raise EngineError(USAGE, f"bad record {bad[0][:60]!r}")
+    if b"".join([r[2] for r in reads]).translate(None, ALPHABET.encode()):
         raise EngineError(USAGE, "a sequence has a letter that is no IUPAC code")
-    if len(printed.translate(None, _NOT_PRINTED)) != len(printed):
+    if b"".join([r[3] for r in reads]).translate(None, _PRINTED):
         raise EngineError(USAGE, "a quality has a byte beyond ! to ~")
 
 
+def grid(head: bytes, rows: np.ndarray, tail: bytes = b"") -> bytes:
+    """Rows of equal length one after another, each between head and tail."""
+    out = np.empty((len(rows), len(head) + rows.shape[1] + len(tail)), np.uint8)
+    out[:, : len(head)] = np.frombuffer(head, np.uint8)
+    out[:, len(head) : len(head) + rows.shape[1]] = rows
+    out[:, len(head) + rows.shape[1] :] = np.frombuffer(tail, np.uint8)
+    return out.tobytes()
+
+
+def quads(codes: np.ndarray) -> np.ndarray:
+    """Four codes to a byte, the first lowest."""
+    return codes[..., 0::4] | codes[..., 1::4] << 2 | codes[..., 2::4] << 4 | codes[..., 3::4] << 6
+
+
 def pack(sequences: list[bytes]) -> bytes:
     """The raw sequence stream without its count."""
     lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
-    letters = np.frombuffer(b"".join(sequences), np.uint8)
+    joined = b"".join(sequences)
+    plain = not joined.translate(None, BASES.encode())
+    letters = np.frombuffer(joined, np.uint8)
+    coded = np.frombuffer(joined.translate(_CODES), np.uint8)
+    n = int(lengths[0])
+    if plain and (lengths == n).all():
+        codes = np.zeros((len(sequences), (n + 3) // 4 * 4), np.uint8)
+        codes[:, :n] = coded.reshape(-1, n)
+        return grid(varint(n), quads(codes), b"\0")
     room = (lengths + 3) // 4
     begins = np.cumsum(room) - room
     starts = np.cumsum(lengths) - lengths
     codes = np.zeros(int(room.sum()) * 4, np.uint8)
-    codes[np.arange(len(letters)) + np.repeat(begins * 4 - starts, lengths)] = _CODE[letters]
-    packed = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8).tobytes()
-    odd = np.flatnonzero(~_PLAIN[letters])
+    codes[np.arange(len(letters)) + np.repeat(begins * 4 - starts, lengths)] = coded
+    packed = quads(codes).tobytes()
+    odd = np.flatnonzero(~_PLAIN[letters]) if not plain else np.empty(0, np.int64)
     cuts = np.searchsorted(odd, starts).tolist() + [len(odd)]
     out = []
     ends = (begins + room).tolist()
@@ -121,19 +143,58 @@ def pack(sequences: list[bytes]) -> bytes:
         if first == last:
             out.append(b"\0")
             continue
-        where = odd[first:last]
         out.append(varint(last - first))
-        before = starts[k]
-        for p in where.tolist():
-            out += (varint(p - int(before)), bytes([letters[p]]))
+        before = int(starts[k])
+        for p in odd[first:last].tolist():
+            out += (varint(p - before), joined[p : p + 1])
             before = p
     return b"".join(out)
 
 
 def raw_streams(reads: list[Read]) -> tuple[bytes, bytes, bytes]:
     n = varint(len(reads))
-    ids = b"".join([n, *(x for i, c, _, _ in reads for x in (varint(len(i)), i, varint(len(c)), c))])
-    return ids, n + pack([r[2] for r in reads]), b"".join([n, *(x for r in reads for x in (varint(len(r[3])), r[3]))])
+    ids = b"".join([n, *[x for i, c, _, _ in reads for x in (varint(len(i)), i, varint(len(c)), c)]])
+    qualities = [r[3] for r in reads]
+    size = len(qualities[0])
+    if all(len(q) == size for q in qualities):
+        printed = grid(varint(size), np.frombuffer(b"".join(qualities), np.uint8).reshape(-1, size))
+    else:
+        printed = b"".join([x for q in qualities for x in (varint(len(q)), q)])
+    return ids, n + pack([r[2] for r in reads]), n + printed
+
+
+def even_rows(data: bytes, at: int, count: int, head: bytes, size: int, tail: bytes) -> np.ndarray | None:
+    """The rows of a stream that is a grid() from at on; None if it isn't."""
+    width = len(head) + size + len(tail)
+    if count < 2 or len(data) - at != count * width:
+        return None
+    rows = np.frombuffer(data, np.uint8, offset=at).reshape(count, width)
+    if (rows[:, : len(head)] != np.frombuffer(head, np.uint8)).any() or (rows[:, len(head) + size :] != np.frombuffer(tail, np.uint8)).any():
+        return None
+    return rows[:, len(head) : len(head) + size]
+
+
+def even_sequences(data: bytes, at: int, count: int) -> list[bytes] | None:
+    """The sequences of a stream in which all are of one length and without exceptions."""
+    cursor = Cursor(data)
+    cursor.at = at
+    n = cursor.varint()
+    rows = even_rows(data, at, count, data[at : cursor.at], (n + 3) // 4, b"\0")
+    if rows is None or not n:
+        return None
+    text = _QUADS[rows].view(np.uint8).reshape(count, -1)[:, :n].tobytes()
+    return [text[k : k + n] for k in range(0, count * n, n)]
+
+
+def even_qualities(data: bytes, at: int, count: int) -> list[bytes] | None:
+    cursor = Cursor(data)
+    cursor.at = at
+    n = cursor.varint()
+    rows = even_rows(data, at, count, data[at : cursor.at], n, b"")
+    if rows is None or not n:
+        return None
+    text = rows.tobytes()
+    return [text[k : k + n] for k in range(0, count * n, n)]
 
 
 def unpack(cursor: Cursor) -> bytes:
@@ -160,15 +221,22 @@ def decode_streams(ids: bytes, sequences: bytes, qualities: bytes, count: int) -
     i, s, q = map(Cursor, (ids, sequences, qualities))
     if any(c.varint() != count for c in (i, s, q)):
         raise EngineError(FORMAT, "record counts disagree")
-    out = []
+    names = []
     for _ in range(count):
         name = i.take(i.varint())
-        r = (name, i.take(i.varint()), unpack(s), q.take(q.varint()))
-        if shape_fault(r) or len(r[3].translate(None, _NOT_PRINTED)) != len(r[3]):
-            raise EngineError(FORMAT, "a bad record in a frame")
-        out.append(r)
-    for c in (i, s, q):
-        c.done()
+        names.append((name, i.take(i.varint())))
+    sequences = even_sequences(sequences, s.at, count) if count else []
+    if sequences is None:
+        sequences = [unpack(s) for _ in range(count)]
+        s.done()
+    qualities = even_qualities(qualities, q.at, count) if count else []
+    if qualities is None:
+        qualities = [q.take(q.varint()) for _ in range(count)]
+        q.done()
+    i.done()
+    out = [(*n, a, b) for n, a, b in zip(names, sequences, qualities, strict=True)]
+    if any(map(shape_fault, out)) or b"".join(qualities).translate(None, _PRINTED):
+        raise EngineError(FORMAT, "a bad record in a frame")
     return out
 
 
@@ -213,7 +281,7 @@ def encode_frame(reads: list[Read], *, paired: bool = False, level: int = 1, mem
     raw = raw_streams(reads)
     if max(map(len, raw)) > frame_limit(memory):
         raise EngineError(USAGE, "a stream of a frame is larger than the memory limit allows")
-    text = sum(len(x) + 1 for r in reads for x in r)
+    text = sum([len(i) + len(c) + 2 * len(q) + 4 for i, c, _, q in reads])
     if RESERVE + 2 * len(reads) * READ_SIZE + 4 * text + sum(len(x) + bound(len(x)) for x in raw) > memory:
         raise EngineError(USAGE, "encoding a frame would need more than the memory limit")
     try:

@@ -7,6 +7,8 @@ other. Encoding is part of the same pass: reads go in, compressed frames come ou
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -45,28 +47,38 @@ def frame_row(chunk: int, local: int, f: Frame) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(row, FRAME_ARROW, strict=True)], schema=FRAME_ARROW)
 
 
+def encoded(blocks: Iterator[tuple[int, list[Read]]], *, target: int = TARGET, paired: bool = False, level: int = 1, memory: int = DEFAULT_MEMORY) -> Iterator[pa.RecordBatch]:
+    """The frames of blocks of reads, each with its chunk; a chunk's blocks follow one another."""
+    held: list[Read] = []
+    chunk, local, acc = None, 0, Accumulator(target, paired)
+    frame = lambda: frame_row(chunk, local, encode_frame(held, paired=paired, level=level, memory=memory))
+    for at, reads in blocks:
+        if at != chunk:
+            if held:
+                yield frame()
+            held, chunk, local, acc = [], at, 0, Accumulator(target, paired)
+        begin = 0
+        for end, (name, comment, sequence, _) in enumerate(reads, 1):
+            if acc.closes(READ_SIZE + 4 + len(name) + len(comment) + 2 * len(sequence)):
+                held += reads[begin:end]
+                yield frame()
+                held, local, begin = [], local + 1, end
+        held += reads[begin:]
+    if held:
+        yield frame()
+
+
 def encode(reads: DataFrame, *, target: int = TARGET, paired: bool = False, level: int = 1, memory: int = DEFAULT_MEMORY) -> DataFrame:
     """Compressed frames of reads. Each partition must hold whole chunks in order, as the fastq source gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[Read] = []
-        chunk, local, acc = None, 0, Accumulator(target, paired)
-        flush = lambda: frame_row(chunk, local, encode_frame(held, paired=paired, level=level, memory=memory))
-        for batch in batches:
-            chunks = batch.column(0).to_pylist()
-            texts = [[x.encode("latin-1") for x in batch.column(k).to_pylist()] for k in range(1, 5)]
-            for at, read in zip(chunks, zip(*texts, strict=True), strict=True):
-                if at != chunk:
-                    if held:
-                        yield flush()
-                        held = []
-                    chunk, local, acc = at, 0, Accumulator(target, paired)
-                held.append(read)
-                if acc.closes(READ_SIZE + 4 + len(read[0]) + len(read[1]) + 2 * len(read[2])):
-                    yield flush()
-                    held, local = [], local + 1
-        if held:
-            yield flush()
+        def blocks() -> Iterator[tuple[int, list[Read]]]:
+            for batch in batches:
+                texts = [[x.encode("latin-1") for x in batch.column(k).to_pylist()] for k in range(1, 5)]
+                for chunk, rows in groupby(zip(batch.column(0).to_pylist(), *texts, strict=True), itemgetter(0)):
+                    yield chunk, [r[1:] for r in rows]
+
+        return encoded(blocks(), target=target, paired=paired, level=level, memory=memory)
 
     return reads.select("chunk", "id", "comment", "sequence", "quality").mapInArrow(run, FRAME_SCHEMA)
 

@@ -169,8 +169,10 @@ def detect(spark: SparkSession, path: str, mate: str | None, bases: int) -> str:
 
 
 def frames_of(spark: SparkSession, path: str, mate: str | None = None, workers: int = 1, **how) -> DataFrame:
-    """The frames of a FASTQ input, in a narrow plan: scan, frame, encode. Write it as Parquet for a sink without a driver's part."""
-    return framing.encode(reads_of(spark, path, mate, workers), paired=mate is not None, **how)
+    """The frames of a FASTQ input, encoded where they are parsed. Write it as Parquet for a sink without a driver's part."""
+    register(spark)
+    r = spark.read.format("fastq").options(path=path, workers=workers, mode="frames", **how)
+    return (r.option("mate", mate) if mate else r).load()
 
 
 def compress(spark: SparkSession, q: CompressRequest) -> OperationStats:

@@ -3,24 +3,30 @@
 A plain unpaired file is cut into byte ranges; a record belongs to the range in which its header begins. Gzip and
 pairs are one partition each. Rows have their place explicitly: (file, byte_offset), chunk and place in the chunk.
 
-Options: path, mate (R2 of path), workers (byte ranges; 0 or 1: one), start (byte to begin at).
+Options: path, mate (R2 of path), workers (byte ranges; 0 or 1: one), start (byte to begin at), mode (reads, or frames:
+the encoded frames of each range, with target, level and memory; reads then never leave the task).
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, islice
 from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from readloom.errors import FORMAT, EngineError
+from readloom.functions.codec import Read
 from readloom.sources.container import container, opened
 
 SCHEMA = "file string, chunk int, place bigint, byte_offset bigint, mate tinyint, id string, comment string, sequence string, quality string"
 BATCH_BYTES = 8 << 20
 LARGE = 64
+#: Bytes that bulk() splits at once.
+BLOCK = 4 << 20
 
 
 class Parser:
@@ -145,10 +151,95 @@ def records(part: Part) -> Iterator[tuple[int, int, bytes, bytes, bytes, bytes]]
             raise EngineError(FORMAT, f"no record can be told at byte {got[0]}")
 
 
+class Joined(io.RawIOBase):
+    """Bytes already read, then a stream."""
+
+    def __init__(self, head: bytes, rest: BinaryIO):
+        self.head, self.rest = io.BytesIO(head), rest
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        data = self.head.read(len(buffer)) or self.rest.read(len(buffer))
+        buffer[: len(data)] = data
+        return len(data)
+
+
+def regular(lines: list[bytes]) -> list[Read] | None:
+    """The records of four lines each, if all are plainly right; None leaves them to the Parser and its errors."""
+    heads, sequences, qualities = lines[0::4], lines[1::4], lines[3::4]
+    sizes = list(map(len, sequences))
+    if not all(sizes) or sizes != list(map(len, qualities)) or not all([x[:1] == b"+" for x in lines[2::4]]):
+        return None
+    out = []
+    for head, sequence, quality in zip(heads, sequences, qualities, strict=True):
+        cut = head.find(b" ")
+        name, comment = (head[1:], b"") if cut < 0 else (head[1:cut], head[cut:])
+        if not name or head[:1] != b"@":
+            return None
+        out.append((name, comment, sequence, quality))
+    return out
+
+
+def bulk(part: Part) -> Iterator[list[Read]]:
+    """What records() gives, without mates and offsets, many at a time: blocks of plain four-line records are split at once."""
+    if part.mate is not None:
+        rows = iter(records(part))
+        while held := [r[2:] for r in islice(rows, 4096)]:
+            yield held
+        return
+    with opened(part.path) as f:
+        at = part.start
+        if part.chunk:
+            found = first_record(f, at)
+            if found is None or part.end is not None and found >= part.end:
+                return
+            at = found
+        if at:
+            f.seek(at)
+        carry = b""
+        while part.end is None or at < part.end:
+            data = f.read(BLOCK)
+            block = carry + data
+            lines = block.split(b"\n") if data and b"\r" not in block else []
+            whole = (len(lines) - 1) // 4 * 4
+            got = regular(lines[:whole]) if whole > 0 else None
+            if got is None:
+                break
+            size = sum(map(len, lines[:whole])) + whole
+            if part.end is not None and at + size > part.end:
+                ends = accumulate(len(x) + 1 for x in lines[:whole])
+                mine = 1 + sum(1 for k, e in enumerate(ends, 1) if k % 4 == 0 and at + e < part.end)
+                if mine < len(got):
+                    yield got[:mine]
+                    at += sum(map(len, lines[: 4 * mine])) + 4 * mine
+                    if first_record(f, part.end) != at:
+                        raise EngineError(FORMAT, f"no record can be told at byte {at}")
+                    return
+            yield got
+            at, carry = at + size, block[size:]
+        else:
+            block = carry
+        parser = Parser(io.BufferedReader(Joined(block, f), 1 << 20), at)
+        rows = []
+        while (got := parser.read()) is not None and (part.end is None or got[0] < part.end):
+            rows.append(got[1:])
+            if len(rows) == 4096:
+                yield rows
+                rows = []
+        if rows:
+            yield rows
+        if got is not None and first_record(f, part.end) != got[0]:
+            raise EngineError(FORMAT, f"no record can be told at byte {got[0]}")
+
+
 class FastqReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.mate = options["path"], options.get("mate")
         self.workers, self.start = int(options.get("workers", 4)), int(options.get("start", 0))
+        self.mode = options.get("mode", "reads")
+        self.how = {k: int(options[k]) for k in ("target", "level", "memory") if k in options}
 
     def partitions(self) -> list[Part]:
         if self.mate:
@@ -158,6 +249,11 @@ class FastqReader(DataSourceReader):
         return ranges(self.path, self.workers, self.start)
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+        if self.mode == "frames":
+            from readloom.operators.framing import encoded
+
+            yield from encoded(((partition.chunk, b) for b in bulk(partition)), paired=partition.mate is not None, **self.how)
+            return
         rows: list[tuple] = []
         size = place = 0
         for r in records(partition):
@@ -185,6 +281,10 @@ class FastqSource(DataSource):
         return "fastq"
 
     def schema(self) -> str:
+        if self.options.get("mode") == "frames":
+            from readloom.operators.framing import FRAME_SCHEMA
+
+            return FRAME_SCHEMA
         return SCHEMA
 
     def reader(self, schema) -> FastqReader:

@@ -6,7 +6,8 @@ import pytest
 
 from readloom.errors import FORMAT, IO, EngineError
 from readloom.sources import container
-from readloom.sources.fastq import Parser, Part, first_record, ranges, records
+from readloom.sources import fastq
+from readloom.sources.fastq import Parser, Part, bulk, first_record, ranges, records
 
 
 def parsed(data):
@@ -35,7 +36,23 @@ def test_malformed(data):
 
 
 def split(path, k):
-    return [r for p in ranges(str(path), k) for r in records(p)]
+    """All ranges' records; the bulk way must give the same, or fail as well."""
+    parts = ranges(str(path), k)
+    try:
+        many = [r for p in parts for rows in bulk(p) for r in rows]
+    except EngineError as e:
+        with pytest.raises(EngineError) as f:
+            [r for p in parts for r in records(p)]
+        assert e.code == f.value.code
+        raise
+    out = [r for p in parts for r in records(p)]
+    assert [r[2:] for r in out] == many
+    return out
+
+
+@pytest.fixture(autouse=True, params=[1 << 22, 97])
+def block(request, monkeypatch):
+    monkeypatch.setattr(fastq, "BLOCK", request.param)
 
 
 def fuzz(rnd, n):
