@@ -13,7 +13,6 @@ with no labelled row all texts are und. Repeated rows give repeated results; a n
 from __future__ import annotations
 
 import re
-import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -26,7 +25,8 @@ from pyspark.sql import functions as F
 
 #: About how many labelled documents the model is fitted on, drawn by a hash of doc_id.
 SAMPLE_DOCUMENTS = 20_000
-BUCKETS = 1 << 15
+BITS = 15
+BUCKETS = 1 << BITS
 #: What a switch of language costs, in nats; a word scores the mean of its n-grams' log probabilities, times WEIGHT.
 PENALTY = 6.0
 WEIGHT = 2.0
@@ -34,6 +34,8 @@ WEIGHT = 2.0
 SCRIPT_SHARE = 0.01
 CACHE_WORDS = 300_000
 LONGEST = 64
+#: Texts whose new words are learned together.
+AT_ONCE = 64
 WORD = re.compile(r"[^\W\d_]+")
 
 #: Where ranges of code points of a script begin, in order.
@@ -57,11 +59,22 @@ def letters(word: str) -> str:
     return word if word.isalpha() else "".join(c for c in word if c.isalpha())
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of a lower-case word's 1- to 3-grams, with its ends, and of the word."""
-    w = f"^{word[:LONGEST]}$"
-    parts = [w, *(w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1))]
-    return [zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the 1- to 3-grams, with its ends, and of the whole of each lower-case word, and the word's place in the list."""
+    text = [f"^{w[:LONGEST]}$" for w in words]
+    c = np.frombuffer("".join(text).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    size = np.fromiter(map(len, text), np.int64, len(text))
+    begin = np.cumsum(size) - size
+    of = np.repeat(np.arange(len(text)), size)
+    k1, k2, k3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+    two = (c[:-1] * k1) ^ (c[1:] * k2)
+    three = (two[:-1] * k2) ^ (c[2:] * k3)
+    place = (np.arange(len(c)) - np.repeat(begin, size)).astype(np.uint64)
+    spread = (c + place * k3) * k1
+    whole = np.add.reduceat(spread ^ (spread >> np.uint64(29)), begin)
+    in2, in3 = of[:-1] == of[1:], of[:-2] == of[2:]
+    h = np.concatenate([c * k3, two[in2] * k3, three[in3], whole]) * k2
+    return (h >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate([of, of[:-1][in2], of[:-2][in3], np.arange(len(text))])
 
 
 @dataclass(frozen=True)
@@ -84,12 +97,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
+            seen: dict[str, Counter] = {}
             for text, lang in zip(batch.column(0), batch.column(1), strict=True):
-                at = counts.setdefault(lang.as_py(), np.zeros(BUCKETS + len(SCRIPTS), np.int64))
-                for w, n in Counter(WORD.findall(text.as_py().lower())).items():
-                    if own := letters(w):
-                        np.add.at(at, grams(w), n)
-                        at[BUCKETS + script(own[0])] += n * len(own)
+                seen.setdefault(lang.as_py(), Counter()).update(WORD.findall(text.as_py().lower()))
+            for lang, words in seen.items():
+                at = counts.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS), np.int64))
+                known = [(w, own, n) for w, n in words.items() if (own := letters(w))]
+                if known:
+                    where, of = grams([w for w, _, _ in known])
+                    at[:BUCKETS] += np.bincount(where, np.array([n for _, _, n in known])[of], BUCKETS).astype(np.int64)
+                for _, own, n in known:
+                    at[BUCKETS + script(own[0])] += n * len(own)
         for lang, at in counts.items():
             used = np.flatnonzero(at)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used), pa.array(at[used])], names=["lang", "at", "n"])
@@ -118,21 +136,25 @@ class Labeller:
             self.scores, self.sizes = np.pad(self.scores, ((0, more), (0, 0))), np.pad(self.sizes, (0, more))
         self.ids.update(zip(words, range(first, last), strict=True))
         own = [letters(w) for w in words]
-        each = [grams(w) for w in words]
-        count = np.fromiter(map(len, each), np.int64, len(each))
-        s = WEIGHT * np.add.reduceat(self.model.log[np.concatenate(each)], np.cumsum(count) - count, axis=0) / count[:, None]
+        where, of = grams(words)
+        count = np.bincount(of, minlength=len(words))
+        s = np.stack([WEIGHT * np.bincount(of, log[where], len(words)) / count for log in self.model.log.T], axis=1)
         uses = np.array([self.model.uses[script(x[0])] if x else np.zeros(s.shape[1], bool) for x in own])
         s = np.where(uses, s - np.where(uses, s, -np.inf).max(axis=1, initial=-1e9, keepdims=True), -1e3)
         s[~uses.any(axis=1)] = 0.0  # a script of no language tells nothing
         self.scores[first:last], self.sizes[first:last] = s, [len(x) for x in own]
 
+    def prepare(self, texts: list[list[str]]) -> None:
+        """Learns the words that these texts need, at once."""
+        new = dict.fromkeys(w for words in texts for w in words if w not in self.ids)
+        if len(self.ids) + len(new) > CACHE_WORDS:
+            self.ids = {}
+            new = dict.fromkeys(w for words in texts for w in words)
+        if new:
+            self.learn(list(new))
+
     def path(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The language of each word on the best path, and its letters."""
-        if new := list(dict.fromkeys(w for w in words if w not in self.ids)):
-            if len(self.ids) + len(new) > CACHE_WORDS:
-                self.ids = {}
-                new = list(dict.fromkeys(words))
-            self.learn(new)
+        """The language of each word, all prepared, on the best path, and its letters."""
         at = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
         s, n = self.scores[at], self.sizes[at]
         best = int(s.sum(axis=0).argmax())
@@ -142,8 +164,16 @@ class Labeller:
             return np.full(len(words), best), n
         return viterbi(s, PENALTY), n
 
-    def label(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall(text.lower()) if text and self.model.languages else []
+    def split(self, text: str | None) -> list[str]:
+        return WORD.findall(text.lower()) if text and self.model.languages else []
+
+    def labels(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The language that most letters of a text are in, and their share."""
+        each = [self.split(t) for t in texts]
+        self.prepare(each)
+        return [self.label(words) for words in each]
+
+    def label(self, words: list[str]) -> tuple[str, float]:
         if not words:
             return "und", 0.0
         path, n = self.path(words)
@@ -158,7 +188,9 @@ class Labeller:
         found = list(WORD.finditer(text.lower())) if text and self.model.languages else []
         if not found:
             return []
-        path = self.path([m[0] for m in found])[0]
+        words = [m[0] for m in found]
+        self.prepare([words])
+        path = self.path(words)[0]
         edges = np.flatnonzero(np.r_[True, path[1:] != path[:-1], True])
         return [(found[a].start(), found[b - 1].end(), self.model.languages[path[a]]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
@@ -188,7 +220,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model)
         for batch in batches:
-            got = [labeller.label(t.as_py()) for t in batch.column(2)]
+            texts = batch.column(2)
+            got = [g for at in range(0, len(texts), AT_ONCE) for g in labeller.labels(texts[at : at + AT_ONCE].to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return held_out(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
