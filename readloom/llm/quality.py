@@ -31,7 +31,8 @@ MAX_REPEAT_PERCENT = 30
 #: A line is boilerplate if it's in more than this share of a host's distinct documents, and in at least so many.
 LINE_SHARE = 0.1
 LINE_DOCUMENTS = 20
-#: A document is depleted if fewer words are left than MIN_WORDS, or less than this share of them.
+#: A document is depleted if fewer words are left than LEFT_WORDS, or less than LEFT_SHARE of them.
+LEFT_WORDS = 10
 LEFT_SHARE = 0.3
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -114,7 +115,7 @@ def verdicts(found: DataFrame, share: float = LINE_SHARE, least: int = LINE_DOCU
     hit = hit.join(common, ["host", "h"]).groupBy("host", "digest").agg(F.count("*").alias("n_lines_removed"), F.sum("words").alias("lost"), F.collect_set("h").alias("removed"))
     left = F.col("n_words") - F.coalesce("lost", F.lit(0))
     out = texts.select("host", "digest", "n_words", "base_failed").join(hit, ["host", "digest"], "left")
-    depleted = F.col("lost").isNotNull() & ((left < MIN_WORDS) | (left < LEFT_SHARE * F.col("n_words")))
+    depleted = F.col("lost").isNotNull() & ((left < LEFT_WORDS) | (left < LEFT_SHARE * F.col("n_words")))
     return out.select("host", "digest", (~F.col("base_failed") & ~depleted).alias("kept"), F.coalesce("n_lines_removed", F.lit(0)).alias("n_lines_removed"), left.alias("n_words_left"), "removed")
 
 

@@ -42,7 +42,7 @@ def brute(docs, share, least):
             gone = [x for x in t.split("\n") if normal(x) in bad[h]]
             n = len(WORD.findall(t))
             left = n - sum(len(WORD.findall(x)) for x in gone)
-            out[h, t] = not base(t)[1] and not (gone and (left < 20 or left < 0.3 * n)), len(gone), left
+            out[h, t] = not base(t)[1] and not (gone and (left < 10 or left < 0.3 * n)), len(gone), left
     return out, bad
 
 
