@@ -86,3 +86,19 @@ def digests(chats: DataFrame) -> DataFrame:
     back = chats.select("conv_id", parse(F.col("formatted")).alias("turns"), loss_text(F.col("segments")).alias("learned"), F.length("formatted").cast("long").alias("formatted_chars"))
     said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars")
+
+
+SAID = "</s>[INST] ok [/INST]"
+_ESCAPED = "length(replace(replace({0}, '\\', '\\\\'), '<|', '<\\|'))"
+ORACLE_SQL = f"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '{SAID}' union all select -1, 1, '{LEARNED}', '{SAID}'
+),
+ran as (select *, lag(role) over (partition by conv_id order by turn, role, text) is distinct from role as first from turns)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = '{LEARNED}'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = '{LEARNED}'), '')) as loss_sha256,
+  cast(sum({_ESCAPED.format("text")} + case when first then {_ESCAPED.format("role")} + {len(TURN + TEXT + END)} else {len(NEXT)} end) as bigint) as formatted_chars
+from ran group by conv_id
+"""

@@ -140,3 +140,35 @@ def clean(docs: DataFrame, share: float = LINE_SHARE, least: int = LINE_DOCUMENT
     out = out.withColumn("__new", F.when(F.col("__removed").isNotNull(), F.array_join(lines, "\n")).otherwise(F.col("text")))
     kinds = dict(docs.dtypes)
     return out.select(*[F.col("__new").alias("text") if c == "text" else F.when(F.col("__removed").isNotNull(), F.length("__new")).otherwise(F.col(c)).cast(kinds[c]).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+_WORD = r"[^\x20\x09-\x0D]"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ORACLE_SQL = f"""
+with d as (select doc_id, coalesce(source, '') as host, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{_WORD}+') as w from documents),
+grams as (select doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') as g from (select doc_id, w, unnest(generate_series(1, len(w) - {WINDOW - 1})) as i from d)),
+twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as n from grams) where n > 1),
+covered as (select doc_id, count(distinct k) as n from (select doc_id, unnest(generate_series(i, i + {WINDOW - 1})) as k from twice) group by doc_id),
+texts as (select distinct host, text from d),
+lines as (
+  select host, text, line, array_to_string(regexp_extract_all(translate(line, '{_UPPER}', '{_UPPER.lower()}'), '{_WORD}+'), ' ') as norm, len(regexp_extract_all(line, '{_WORD}+')) as words
+  from (select host, text, unnest(string_split(text, chr(10))) as line from texts) where regexp_matches(line, '{_WORD}')
+),
+hosts as (select host, count(*) as docs from texts group by host),
+common as (
+  select host, norm from (select host, norm, count(distinct text) as n from lines group by host, norm) join hosts using (host)
+  where n >= {LINE_DOCUMENTS} and n > {LINE_SHARE} * docs
+),
+lost as (select host, text, count(*) as n, cast(sum(words) as bigint) as words from lines join common using (host, norm) group by host, text),
+base as (
+  select d.doc_id, len(w) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
+    length(d.text) - length(regexp_replace(d.text, '[#*$%&|<>]', '', 'g')) as n_symbols,
+    len(list_filter(string_split(d.text, chr(10)), lambda x: regexp_matches(x, '{_WORD}'))) - len(list_distinct(list_filter(string_split(d.text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')))) as n_dup_lines,
+    coalesce(c.n, 0) as n_repeat_words, coalesce(l.n, 0) as n_lines_removed, len(w) - coalesce(l.words, 0) as n_words_left, l.n is not null as cut
+  from d left join covered c on c.doc_id = d.doc_id left join lost l on l.host = d.host and l.text = d.text
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words as base_failed,
+  not (n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) and not (cut and (n_words_left < {LEFT_WORDS} or n_words_left < {LEFT_SHARE} * n_words)) as kept,
+  n_lines_removed, n_words_left
+from base
+"""

@@ -18,9 +18,8 @@ def vocabulary() -> str:
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(chat.SAID).alias("text"))
     return chat.digests(chat.format_chats(turns.unionByName(own)))
 
 
@@ -65,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE_SQL, "op7_line_dedup": linededup.ORACLE_SQL, "op9_top_k": kdtree.ORACLE_SQL}
+    return {"op1_chat_format": chat.ORACLE_SQL, "op2_quality_rules": quality.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op7_line_dedup": linededup.ORACLE_SQL, "op9_top_k": kdtree.ORACLE_SQL}
