@@ -109,22 +109,27 @@ def engine_errors():
 
 
 @contextmanager
-def published(output: str, force: bool) -> Iterator[tuple[Callable[[bytes], None], str]]:
-    """A function that appends to a staged output, and a folder for what tasks leave. Standard output, -, isn't staged."""
+def published(spark: SparkSession, output: str, force: bool) -> Iterator[tuple[Callable[[bytes], None], str]]:
+    """A function that appends to a staged output, and a folder, beside it, for what tasks leave.
+
+    Standard output, -, isn't staged; its folder is in spark.checkpoint.dir, a local one only where that is unset.
+    """
     if output == "-":
-        folder = tempfile.mkdtemp(prefix="readloom-")
+        at = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+        folder = f"{at}/readloom-{time.time_ns()}-{os.getpid()}"
         try:
-            yield sys.stdout.buffer.write, f"{folder}/parts"
+            yield sys.stdout.buffer.write, folder
             sys.stdout.buffer.flush()
         finally:
-            shutil.rmtree(folder, ignore_errors=True)
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         return
     if os.path.exists(output) and not force:
         raise EngineError(IO, f"{output} exists")
     staged = f"{output}.tmp.{time.time_ns()}.{os.getpid()}"
     try:
         with open(staged, "wb") as f:
-            yield f.write, f"{staged}.parts"
+            yield f.write, f"file://{os.path.abspath(staged)}.parts"
         os.replace(staged, output)
     except OSError as e:
         raise EngineError(IO, f"{output}: {e.strerror}") from e
@@ -191,7 +196,7 @@ def compress(spark: SparkSession, q: CompressRequest) -> OperationStats:
         size = sum(container(p)[1] for p in (path, mate) if p)
         name = detect(spark, path, mate, min(512 * MIB, room // 8)) if q.profile == "auto" else q.profile
         sampled = time.time()
-        with published(q.output, q.force) as (write, folder):
+        with published(spark, q.output, q.force) as (write, folder):
             frames_of(spark, path, mate, q.workers, target=min(q.frame_bytes, room // 8), level=q.level, memory=q.memory).write.parquet(folder)
             encoded = time.time()
             code = next(k for k, n in PROFILES.items() if n == name)
@@ -244,7 +249,7 @@ def decompress(spark: SparkSession, q: DecompressRequest, sink: Callable[[bytes]
     if q.output != "-" and q.output == q.input:
         raise EngineError(USAGE, "the input is the output")
     with engine_errors(), archive(q.input, q.memory) as (path, d):
-        with published(q.output, q.force) as (write, folder):
+        with published(spark, q.output, q.force) as (write, folder):
             decoded(spark, path, q.memory).write.parquet(folder)
             records = bases = out = 0
             for r in spark.read.schema("frame_id long, records long, bases long, text binary").parquet(folder).orderBy("frame_id").toLocalIterator():
