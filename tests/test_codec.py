@@ -109,8 +109,8 @@ def test_codes_of_corruption():
     for at in range(16, 64, 8):
         assert fault(data[: 32 + at] + b"\xff" * 8 + data[40 + at :]) == FORMAT
     assert fault(codec.FOREIGN + bytes(64)) == UNSUPPORTED
-    assert fault(b"NOTAFQC!" + bytes(64)) == FORMAT
-    assert fault(b"FQC") == FORMAT
+    assert fault(b"NOTMAGIC" + bytes(64)) == FORMAT
+    assert fault(codec.MAGIC[:3]) == FORMAT
     with pytest.raises(EngineError) as e:
         codec.read_frame_header(io.BytesIO(data[32:]), 0, True, codec.RESERVE + 100)
     assert e.value.code == FORMAT
