@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words whose encoding a Python worker keeps, twice: when they are more, those before the last so many go.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 #: Stands for no token, and is the mask of a token in a key of two.
 NONE = (1 << 17) - 1
@@ -104,7 +104,7 @@ class WordBpe:
 
     def stands(self, key: int) -> bool:
         """Whether the tokens a, b of the key a << 17 | b may stand side by side; a is NONE at a word's start."""
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) > 300_000:
             self.pairs.clear()
         got = self.pairs[key] = key >> 17 == NONE or not self.crossed(key >> 17, key & NONE)
         return got
