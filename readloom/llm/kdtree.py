@@ -27,8 +27,11 @@ from .common import stored
 
 SCALE = 1024
 LEAF = 64
-SHARD_ROWS = 32_768
-BLOCK_QUERIES = 8_192
+#: Rows of a shard and queries of a block at most, on average: what a task holds. Large ones keep copies few, as each shard
+#: goes to each block; with few rows, shards of FEW_ROWS give every core some.
+SHARD_ROWS = 131_072
+BLOCK_QUERIES = 65_536
+FEW_ROWS = 4_096
 
 
 class Tree:
@@ -127,7 +130,8 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     rows = stored(rows.select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("double")).alias("v")))
     asked = stored(rows.filter(F.col("vec_id") % every == 0).distinct())
     n, m = rows.count(), asked.count()
-    shards, blocks = max(1, math.ceil(n / SHARD_ROWS)), max(1, math.ceil(m / BLOCK_QUERIES))
+    cores = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards, blocks = max(1, math.ceil(n / SHARD_ROWS), min(cores, n // FEW_ROWS)), max(1, math.ceil(m / BLOCK_QUERIES))
     shard, block = F.pmod(F.xxhash64("vec_id", F.lit("shard")), F.lit(shards)), F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks))
     home = F.pmod(F.col("block"), F.lit(shards))
     held = rows.withColumn("shard", shard).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
