@@ -12,6 +12,11 @@ six keys) or of minima of the shingles' hashes (NEAR: for a similarity of 5-word
 than TILE fingerprints are cut into tiles, and each pair of tiles is a task's group, so no group is unbounded, and what
 a group returns is a spanning forest of its links, not its pairs; links between different fingerprints are all found.
 
+A method with a similarity takes fingerprints only as a filter. Texts of the same set of shingles are one before
+anything is compared. What the filter connects is compared again, by the sets themselves, each of which moves once for
+each tile that its component has; only pairs whose sets have the similarity are links. A pair that links join already
+needs no look at its sets.
+
 A null or wordless text has the fingerprint zero and links like any other. Repeated rows are equal fingerprints. A
 row with a null id gets a fingerprint, and the class of its fingerprint; it never names a class unless all its class is null.
 """
@@ -37,22 +42,26 @@ AT_ONCE = 1 << 15
 #: Rows that a task gathers before it compares; a key's rows, 2 * TILE at most, are never parted.
 GATHER = 1 << 16
 SEED = 42
+#: Bytes of shingle sets that a tile should have at most, on average, and that a task gathers before it compares.
+TILE_BYTES = 1 << 24
+GATHER_BYTES = 1 << 26
 
 
 @dataclass(frozen=True)
 class Method:
-    """words of a shingle; 64-bit words of a fingerprint; the radius; bands and rows of minima, or no bands for the exact keys."""
+    """words of a shingle; 64-bit words of a fingerprint; the radius; bands and rows of minima, or no bands for the exact keys; per cent of all shingles of two that both have, or 0 to link by fingerprints alone."""
 
     shingle: int
     width: int
     radius: int
     bands: int = 0
     rows: int = 0
+    percent: int = 0
 
 
 EXACT = Method(shingle=3, width=1, radius=2)
-#: Similar by 0.8: 256 bits differ in 39 on average, give or take 6; of twelve bands of four minima one at least agrees with probability 0.998.
-NEAR = Method(shingle=5, width=4, radius=48, bands=12, rows=4)
+#: Similar by 0.8: 256 bits differ in 39 on average, give or take 6, so a radius of 60 passes over 1 pair in 10,000; of twenty bands of four minima one at least agrees with probability 0.99998.
+NEAR = Method(shingle=5, width=4, radius=60, bands=20, rows=4, percent=80)
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -106,20 +115,23 @@ def signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, method: Method) -> DataFrame:
-    """doc_id, fp array<long>, bands array<long>: one row for each row of docs, without a shuffle."""
+    """doc_id, fp array<long>, bands array<long>, name binary, of the set of shingles if the method has a similarity: one row for each row of docs, without a shuffle."""
     longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, bands = [], []
+            fps, bands, names = [], [], []
             for t in batch.column(1):
                 h = shingle_hashes(t.as_py(), method.shingle)
+                if method.percent:
+                    h = np.unique(h)
+                names.append(xxhash.xxh128_digest(h.tobytes()) if method.percent else None)
                 fps.append([signed(x) for x in fingerprint(h, method.width)])
                 low = minima(h, method.bands * method.rows).tolist()
                 bands.append([signed(xxhash.xxh64_intdigest(repr((k, low[k * method.rows : (k + 1) * method.rows])))) for k in range(method.bands)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, longs), pa.array(bands, longs)], names=["doc_id", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, longs), pa.array(bands, longs), pa.array(names, pa.binary())], names=["doc_id", "fp", "bands", "name"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp array<long>, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp array<long>, bands array<long>, name binary")
 
 
 def exact_keys(fp: Column) -> Column:
@@ -195,25 +207,28 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
-def links(nodes: DataFrame, method: Method) -> DataFrame:
-    """a, b: enough links of near fingerprints to connect all that are connected. nodes: node long, fp array<long>, keys array<long>; stored."""
-    rows = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "node", "fp")
-    crowded = stored(nodes.select(F.explode(F.array_distinct("keys")).alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > TILE))
+def tiled(rows: DataFrame, tiles: DataFrame) -> DataFrame:
+    """rows once for each pair of tiles (i, j) that its tile is in. rows: key, node and more; tiles: key, tiles of the keys with over one; stored."""
     zero = F.lit(0).cast("long")
-    if crowded.isEmpty():
-        rows = rows.select("key", zero.alias("i"), zero.alias("j"), "node", "fp")
-    else:
-        tiles = small_or_not(crowded.select("key", F.ceil(F.col("n") / TILE).alias("tiles")))
-        rows = rows.join(tiles, "key", "left").withColumn("t", F.pmod(F.xxhash64("node"), F.coalesce("tiles", F.lit(1))))
-        other = F.explode(F.sequence(zero, F.coalesce("tiles", F.lit(1)) - 1))
-        rows = rows.withColumn("o", other).select("key", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "node", "fp")
+    more = [c for c in rows.columns if c != "key"]
+    if tiles.isEmpty():
+        return rows.select("key", zero.alias("i"), zero.alias("j"), *more)
+    rows = rows.join(small_or_not(tiles), "key", "left").withColumn("t", F.pmod(F.xxhash64("node"), F.coalesce("tiles", F.lit(1))))
+    other = F.explode(F.sequence(zero, F.coalesce("tiles", F.lit(1)) - 1))
+    return rows.withColumn("o", other).select("key", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), *more)
+
+
+def compared(rows: DataFrame, method: Method) -> DataFrame:
+    """a, b: of each group (key, i, j) of rows a forest of links of near fingerprints, and of sets that are alike if rows have shingles."""
+    exact = "shingles" in rows.columns
 
     def compare(batch: pa.Table) -> pa.RecordBatch:
         key = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
         change = np.r_[False, (key[:, 1:] != key[:, :-1]).any(axis=0)]
         fp = batch.column("fp").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, method.width)
         node = batch.column("node").to_numpy()
-        root = forest(len(node), near_lanes(np.cumsum(change), fp, method.radius))
+        pairs = near_lanes(np.cumsum(change), fp, method.radius)
+        root = alike(pairs, [np.frombuffer(x.as_buffer(), "<u8") for x in batch.column("shingles")], method.percent) if exact else forest(len(node), pairs)
         moved = root != np.arange(len(root))
         return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[root[moved]])], names=["a", "b"])
 
@@ -221,7 +236,7 @@ def links(nodes: DataFrame, method: Method) -> DataFrame:
         held: pa.Table | None = None
         for batch in batches:
             held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            if len(held) < GATHER:
+            if len(held) < GATHER and held.nbytes < GATHER_BYTES:
                 continue
             key = np.stack([held.column(c).to_numpy() for c in ("key", "i", "j")])
             last = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0))
@@ -234,17 +249,76 @@ def links(nodes: DataFrame, method: Method) -> DataFrame:
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").filter("a <> b")
 
 
+def links(nodes: DataFrame, method: Method) -> DataFrame:
+    """a, b: enough links of near fingerprints to connect all that are connected. nodes: node long, fp array<long>, keys array<long>; stored."""
+    rows = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "node", "fp")
+    crowded = stored(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > TILE).select("key", F.ceil(F.col("n") / TILE).alias("tiles")))
+    return compared(tiled(rows, crowded), method)
+
+
+def set_links(rows: DataFrame, method: Method) -> DataFrame:
+    """a, b: enough links of sets that are alike to connect all that are connected. rows: sets(), stored."""
+    tiles = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum(F.length("shingles")) / TILE_BYTES))
+    crowded = stored(rows.groupBy("key").agg(tiles.alias("tiles")).filter("tiles > 1"))
+    return compared(tiled(rows, crowded), method)
+
+
+def sets(docs: DataFrame, connected: DataFrame, method: Method) -> DataFrame:
+    """key, node, fp array<long>, shingles binary (sorted hashes) of docs whose id is a node. connected: node, root; its root is the key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = [np.unique(shingle_hashes(t.as_py(), method.shingle)) for t in batch.column(2)]
+            fps = pa.array([[signed(x) for x in fingerprint(x, method.width)] for x in h], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps, pa.array([x.astype("<u8").tobytes() for x in h], pa.binary())], names=["key", "node", "fp", "shingles"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(small_or_not(connected), "node").select(F.col("root").alias("key"), "node", "text")
+    return rows.dropDuplicates(["key", "node", "text"]).mapInArrow(run, "key long, node long, fp array<long>, shingles binary")
+
+
+def alike(pairs: Iterator[tuple[np.ndarray, np.ndarray]], shingles: list[np.ndarray], percent: int) -> np.ndarray:
+    """The least row that each row reaches over those pairs whose sets have the similarity."""
+    root = np.arange(len(shingles))
+    size = np.array([len(x) for x in shingles], np.int64)
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            i = int(root[i])
+        return i
+
+    for a, b in pairs:
+        fit = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
+        a, b = a[fit], b[fit]
+        for at in range(0, len(a), 4096):
+            x, y = a[at : at + 4096], b[at : at + 4096]
+            apart = root[x] != root[y]
+            for i, j in zip(x[apart].tolist(), y[apart].tolist(), strict=True):
+                if (ri := top(i)) == (rj := top(j)):
+                    continue
+                few, many = sorted((shingles[i], shingles[j]), key=len)
+                place = np.searchsorted(many, few)
+                both = int(np.count_nonzero(many[np.minimum(place, len(many) - 1)] == few)) if len(few) else 0
+                if 100 * both >= percent * (len(few) + len(many) - both):
+                    root[max(ri, rj)] = min(ri, rj)
+            while (root[root] != root).any():
+                root = root[root]
+    return root
+
+
 def classes(docs: DataFrame, method: Method) -> DataFrame:
     """doc_id, fp array<long>, component_id: one row for each row of docs."""
     found = stored(fingerprints(docs, method))
+    same = "name" if method.percent else "fp"
     if method.bands:
-        unique = found.groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("bands").alias("keys"))
+        unique = found.groupBy(same).agg(F.min("doc_id").alias("node"), *([F.first("fp").alias("fp")] if method.percent else []), F.first("bands").alias("keys"))
     else:
-        unique = found.groupBy("fp").agg(F.min("doc_id").alias("node")).withColumn("keys", exact_keys(F.col("fp")[0]))
+        unique = found.groupBy(same).agg(F.min("doc_id").alias("node")).withColumn("keys", exact_keys(F.col("fp")[0]))
     unique = stored(unique)
     joined = components(links(unique.filter("node is not null"), method))
-    of = unique.select("fp", "node").join(joined, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return found.select("doc_id", "fp").join(of, "fp").select("doc_id", "fp", "component_id")
+    if method.percent:
+        joined = components(set_links(stored(sets(docs, stored(joined), method)), method))
+    of = unique.select(same, "node").join(joined, "node", "left").select(same, F.coalesce("root", "node").alias("component_id"))
+    return found.select("doc_id", "fp", *([same] if method.percent else [])).join(of, same).select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, method: Method = EXACT) -> DataFrame:

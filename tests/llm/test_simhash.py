@@ -105,6 +105,40 @@ def test_near_method_keeps_one_of_each(spark):
     assert kept <= got and len(got) <= len(kept) + 2
 
 
+def edited(rnd, base, share):
+    """base with words replaced until its 5-word shingles have just no less than this similarity, and how much that is."""
+    sets = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    copy, like = list(base), 1.0
+    for n in range(len(base)):
+        more = list(copy)
+        more[rnd.randrange(len(base))] = f"new{n}"
+        a, b = sets(base), sets(more)
+        if len(a & b) < share * len(a | b):
+            return copy, like
+        copy, like = more, len(a & b) / len(a | b)
+    return copy, like
+
+
+def test_near_copies_are_decided_by_their_shingles(spark, monkeypatch):
+    rnd = random.Random(8)
+    docs, gone = [], set()
+    for share in (0.6, 0.65, 0.7, 0.75, 0.78, 0.8, 0.85):
+        for _ in range(30):
+            base = [f"w{rnd.randrange(50_000)}" for _ in range(400)]
+            copy, like = edited(rnd, base, share)
+            docs.append(base)
+            if like >= 0.8:
+                gone.add(len(docs))
+            docs.append(copy)
+    loop = [f"w{k}" for k in range(60)]
+    docs += [loop * 40, loop * 40 + [f"x{k}" for k in range(60)]]  # nearly one multiset, half the set
+    df = spark.createDataFrame([(i, " ".join(t), "", "", "") for i, t in enumerate(docs)], SCHEMA)
+    want = set(range(len(docs))) - gone
+    assert len(gone) >= 60 and {r.doc_id for r in simhash.keep_one(df).collect()} == want
+    monkeypatch.setattr(simhash, "TILE_BYTES", 1024)
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == want
+
+
 def test_components(spark):
     rnd = random.Random(1)
     pairs = [(k, k + 1) for k in range(100, 140)] + [(1, k) for k in range(2, 60)] + [(rnd.randrange(200, 400), rnd.randrange(200, 400)) for _ in range(120)] + [(5, 5)]
