@@ -2,9 +2,11 @@
 
 The model is fitted on the labelled rows that are not held out, at most about SAMPLE_DOCUMENTS of them: log
 probabilities, by language, of a word's hashed character n-grams, in a table of BUCKETS rows whatever the data's
-size, and the scripts of each language's letters. A word's script leaves the languages that use it. Over a text's
-words the best path is Viterbi's: scores minus PENALTY for each switch. A text whose every deviation from its best
-single language gains less than the penalty needs no search: the single language is then the best path.
+size, and the scripts of each language's letters. A word is a run of letters of one script, LONGEST at most: longer
+runs, as of text without blanks, are cut, and each piece is a word with scores of its own. A word's script leaves the
+languages that use it. Over a text's words the best path is Viterbi's: scores minus PENALTY for each switch. A text
+whose every deviation from its best single language gains less than the penalty needs no search: the single language
+is then the best path.
 
 A text that is null or without letters is und, score 0. Rows without a label, and held-out rows, teach nothing;
 with no labelled row all texts are und. Repeated rows give repeated results; a null id counts as '' in the hold-out.
@@ -55,13 +57,28 @@ def script(c: str) -> int:
     return SCRIPTS.index(SCRIPT_STARTS[bisect_right(STARTS, ord(c)) - 1][1])
 
 
+def _pieces() -> re.Pattern[str]:
+    ends = [*STARTS[1:], 0x110000]
+    ranges = {name: "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for (a, s), b in zip(SCRIPT_STARTS, ends, strict=True) if s == name) for name in SCRIPTS}
+    return re.compile("|".join(f"[{ranges[name]}]{{1,{LONGEST}}}" for name in ["latin", *(x for x in SCRIPTS if x != "latin")]))
+
+
+#: The longest piece of a run that is of one script.
+PIECE = _pieces()
+
+
+def cut(runs: list[str]) -> list[str]:
+    """The words of runs of letters: pieces of one script, of at most LONGEST letters."""
+    return [w for r in runs for w in ((r,) if len(r) <= LONGEST and (r.isascii() or PIECE.fullmatch(r)) else PIECE.findall(r))]
+
+
 def letters(word: str) -> str:
     return word if word.isalpha() else "".join(c for c in word if c.isalpha())
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the 1- to 3-grams, with its ends, and of the whole of each lower-case word, and the word's place in the list."""
-    text = [f"^{w[:LONGEST]}$" for w in words]
+    text = [f"^{w}$" for w in words]
     c = np.frombuffer("".join(text).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     size = np.fromiter(map(len, text), np.int64, len(text))
     begin = np.cumsum(size) - size
@@ -99,7 +116,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Model:
         for batch in batches:
             seen: dict[str, Counter] = {}
             for text, lang in zip(batch.column(0), batch.column(1), strict=True):
-                seen.setdefault(lang.as_py(), Counter()).update(WORD.findall(text.as_py().lower()))
+                seen.setdefault(lang.as_py(), Counter()).update(cut(WORD.findall(text.as_py().lower())))
             for lang, words in seen.items():
                 at = counts.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS), np.int64))
                 known = [(w, own, n) for w, n in words.items() if (own := letters(w))]
@@ -165,7 +182,7 @@ class Labeller:
         return viterbi(s, PENALTY), n
 
     def split(self, text: str | None) -> list[str]:
-        return WORD.findall(text.lower()) if text and self.model.languages else []
+        return cut(WORD.findall(text.lower())) if text and self.model.languages else []
 
     def labels(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """The language that most letters of a text are in, and their share."""
@@ -185,14 +202,14 @@ class Labeller:
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
         """start, end, language of each longest run of words of one language; offsets are of text.lower()."""
-        found = list(WORD.finditer(text.lower())) if text and self.model.languages else []
+        found = [(r.start() + m.start(), m[0]) for r in WORD.finditer(text.lower()) for m in PIECE.finditer(r[0])] if text and self.model.languages else []
         if not found:
             return []
-        words = [m[0] for m in found]
+        words = [w for _, w in found]
         self.prepare([words])
         path = self.path(words)[0]
         edges = np.flatnonzero(np.r_[True, path[1:] != path[:-1], True])
-        return [(found[a].start(), found[b - 1].end(), self.model.languages[path[a]]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return [(found[a][0], found[b - 1][0] + len(words[b - 1]), self.model.languages[path[a]]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def viterbi(s: np.ndarray, penalty: float) -> np.ndarray:

@@ -85,3 +85,18 @@ def test_small_cache_gives_the_same(spark, docs, monkeypatch):
     monkeypatch.setattr(langid, "CACHE_WORDS", 5)
     small = langid.Labeller(model)
     assert [x for t in texts for x in small.labels([t])] == want
+
+
+def test_runs_without_blanks_are_judged_to_their_end(spark):
+    rnd = random.Random(11)
+    han, kana, other = ("".join(map(chr, range(a, a + 40))) for a in (0x4E00, 0x3041, 0x6500))
+    run = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    docs = [(k, run([han, kana, other][k % 3], 300), ["zh", "ja", "wu"][k % 3], None) for k in range(90)]
+    labeller = langid.Labeller(langid.fit(odd.frame(spark, docs)))
+    assert labeller.labels([run(han, 70) + run(kana, 200), run(han, 40) + run(kana, 20)]) == [("ja", 200 / 270), ("zh", 40 / 60)]
+    assert labeller.labels([run(han, 64) + run(other, 640)])[0][0] == "wu"
+    whole = run(han, 128) + run(kana, 70) + run(other, 100)
+    assert [x[2] for x in labeller.spans(whole)][:2] == ["zh", "ja"] and labeller.spans(whole)[1][:2] == (128, 198)
+    assert labeller.spans(whole)[-1][1:] == (298, "wu")
+    for text in ("straße été", "a" * 65, "日本語テキスト", "x²½y", "\U0001d400bc"):
+        assert "".join(langid.cut(langid.WORD.findall(text))) == "".join(langid.WORD.findall(text))
