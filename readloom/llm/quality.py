@@ -2,7 +2,7 @@
 
 Each non-blank line is normalised (A-Z lowered, runs of white space one blank) and hashed. A document counts once
 for a host (source) however many copies the host has. Lines that more than a share of a host's documents hold,
-and at least so many, are boilerplate: they are removed, and a document of which too little is left is rejected.
+and at least so many, are boilerplate (for clean(), those in MOST_DOCUMENTS are at any share): they are removed, and a document of which too little is left is rejected.
 
 What moves are line hashes, never texts: first one row for each distinct (host, text), which a task's own copies
 have been dropped from, then counts by (host, line), summed before they move. A host with a third of all rows is
@@ -31,6 +31,8 @@ MAX_REPEAT_PERCENT = 30
 #: A line is boilerplate if it's in more than this share of a host's distinct documents, and in at least so many.
 LINE_SHARE = 0.1
 LINE_DOCUMENTS = 20
+#: For clean(): in so many of a host's distinct documents a line is boilerplate whatever share of a large host they are.
+MOST_DOCUMENTS = 40
 #: A document is depleted if fewer words are left than LEFT_WORDS, or less than LEFT_SHARE of them.
 LEFT_WORDS = 10
 LEFT_SHARE = 0.3
@@ -99,18 +101,18 @@ def features(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
-def boilerplate(texts: DataFrame, share: float = LINE_SHARE, least: int = LINE_DOCUMENTS) -> DataFrame:
-    """host, h of lines above the limits. texts: host, lines, one row for each distinct (host, text)."""
+def boilerplate(texts: DataFrame, share: float = LINE_SHARE, least: int = LINE_DOCUMENTS, most: int | None = None) -> DataFrame:
+    """host, h of lines above the limits; with most, also of those in so many documents at least. texts: host, lines, one row for each distinct (host, text)."""
     hosts = texts.groupBy("host").agg(F.count("*").alias("docs"))
     lines = texts.select("host", F.explode(F.array_distinct("lines.h")).alias("h")).groupBy("host", "h").agg(F.count("*").alias("n"))
-    return lines.filter(F.col("n") >= least).join(hosts, "host").filter(F.col("n") > share * F.col("docs")).select("host", "h")
+    return lines.filter(F.col("n") >= least).join(hosts, "host").filter((F.col("n") > share * F.col("docs")) | (F.col("n") >= F.lit(most)) if most else F.col("n") > share * F.col("docs")).select("host", "h")
 
 
-def verdicts(found: DataFrame, share: float = LINE_SHARE, least: int = LINE_DOCUMENTS) -> DataFrame:
+def verdicts(found: DataFrame, share: float = LINE_SHARE, least: int = LINE_DOCUMENTS, most: int | None = None) -> DataFrame:
     """host, digest, kept, n_lines_removed, n_words_left, removed array<long>: of distinct (host, text). found: features(), stored."""
     first = [F.first(c).alias(c) for c in ("n_words", "base_failed", "lines")]
     texts = stored(found.groupBy("host", "digest").agg(*first))
-    common = small_or_not(stored(boilerplate(texts, share, least)))
+    common = small_or_not(stored(boilerplate(texts, share, least, most)))
     hit = texts.select("host", "digest", F.explode("lines").alias("x")).select("host", "digest", F.col("x.h").alias("h"), F.col("x.words").alias("words"))
     hit = hit.join(common, ["host", "h"]).groupBy("host", "digest").agg(F.count("*").alias("n_lines_removed"), F.sum("words").alias("lost"), F.collect_set("h").alias("removed"))
     left = F.col("n_words") - F.coalesce("lost", F.lit(0))
@@ -126,13 +128,13 @@ def judge(docs: DataFrame, share: float = LINE_SHARE, least: int = LINE_DOCUMENT
     return out.select("doc_id", *COUNTS, "base_failed", "kept", "n_lines_removed", "n_words_left")
 
 
-def clean(docs: DataFrame, share: float = LINE_SHARE, least: int = LINE_DOCUMENTS) -> DataFrame:
+def clean(docs: DataFrame, share: float = LINE_SHARE, least: int = LINE_DOCUMENTS, most: int | None = MOST_DOCUMENTS) -> DataFrame:
     """docs without the rejected, and without boilerplate lines in text; n_chars, if there, is counted anew where a line went.
 
     Only verdicts that change a document are joined, broadcast if a count proves them few; else texts move once.
     """
     found = stored(features(docs))
-    changed = stored(verdicts(found, share, least).filter(~F.col("kept") | F.col("removed").isNotNull()).select(F.col("host").alias("__host"), F.col("digest").alias("__digest"), F.col("kept").alias("__kept"), F.col("removed").alias("__removed")))
+    changed = stored(verdicts(found, share, least, most).filter(~F.col("kept") | F.col("removed").isNotNull()).select(F.col("host").alias("__host"), F.col("digest").alias("__digest"), F.col("kept").alias("__kept"), F.col("removed").alias("__removed")))
     out = docs.withColumns({"__host": F.coalesce("source", F.lit("")), "__digest": digest(F.col("text"))}).join(small_or_not(changed), ["__host", "__digest"], "left")
     out = out.filter(F.coalesce("__kept", F.lit(True)))
     normal = lambda x: F.trim(F.regexp_replace(ascii_lower(x), r"[\x20\x09-\x0D]+", " "))

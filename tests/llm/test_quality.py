@@ -75,6 +75,13 @@ def test_boilerplate_is_found_and_copies_count_once(spark):
     assert all(got[k].n_lines_removed == 1 for k in range(40)) and all(got[100 + k].n_lines_removed == 0 for k in range(500))
 
 
+def test_clean_takes_a_line_of_many_documents_at_any_size_of_host(spark):
+    rnd = random.Random(6)
+    own = [odd.words(rnd, 40) for _ in range(900)]
+    docs = [(k, f"{t}\n{odd.FOOT}" if k < 40 else f"{t}\nrare line" if k < 79 else t, "en", "h") for k, t in enumerate(own)]
+    assert {r.doc_id: r.text for r in quality.clean(odd.frame(spark, docs)).collect()} == {k: f"{t}\nrare line" if 40 <= k < 79 else t for k, t in enumerate(own)}
+
+
 def test_empty_table(spark):
     empty = odd.frame(spark, [])
     assert quality.judge(empty).count() == 0 and quality.clean(empty).count() == 0
