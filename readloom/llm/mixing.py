@@ -7,17 +7,25 @@ each source that has blocks left is less than one block off its target. Weights
 schedule then repeats after PERIOD slots, so only one period is worked out, in one row, and all blocks look their slot up in it.
 A source that runs out leaves its slots empty: no row is dropped or repeated.
 
-Only DataFrame functions run here. What grows with the data is one narrow shuffle by (source, bucket of the order),
+That rounding pulls weights toward uniform, and its error adds up over periods. So mix() doesn't use it: exact() works out
+the same schedule from the weights themselves, to 2**-SCALE, over all blocks that exist and any number of sources. That
+is a heap on the driver, of a step for each block; what the driver holds is a row of numbers for 64 documents.
+
+Only DataFrame functions run on rows. What grows with the data is one narrow shuffle by (source, bucket of the order),
 which a source of any size is spread over; ranks are counts of earlier buckets plus a row number in the own one. Of
-size-bounded things there are the source list (MAX_SOURCES at most, else an error) and the period's PERIOD rows.
+size-bounded things schedule() has the source list (MAX_SOURCES at most, else an error) and the period's PERIOD rows.
 
 A null source is the source ''; rows with null or repeated ids each have their own place; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +34,8 @@ from .common import small_or_not, stored
 BLOCK = 64
 PERIOD = 1000
 MAX_SOURCES = 500
+#: Weights of mix() are multiples of 2**-SCALE.
+SCALE = 40
 #: Rows that a bucket of a source should have at most, on average.
 BUCKET_ROWS = 20_000
 
@@ -65,10 +75,43 @@ def plan(docs: DataFrame, weights: dict[str, float] | None = None) -> tuple[Data
     return slots, [tuple(r) for r in counts.join(slots.select("source", "k").distinct(), "source").select("source", "n", "k").collect()]
 
 
-def placed(docs: DataFrame, slots: DataFrame, sources: list[tuple[str, int, int]]) -> DataFrame:
-    """docs with __source, __block, __release, __due, __slot, __offset. Sorted by (__slot, __offset) they are the mix."""
+def exact(weights: list[float], blocks: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """source and slot of each block, by slot: windows from the weights, earliest deadline first, ties to the lesser source.
+
+    A source holds no slots after its last block; where no block is released, slots stay empty and cost no step.
+    """
+    if not weights:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    one, total = 1 << SCALE, sum(map(Fraction, weights))
+    share = [Fraction(w) / total * one for w in weights]
+    k = [max(1, math.floor(x)) for x in share]
+    spare = one - sum(k)
+    for s in sorted(range(len(k)), key=lambda s: k[s] - share[s])[: max(0, spare)]:
+        k[s] += 1
+    k[max(range(len(k)), key=k.__getitem__)] += min(0, spare)  # what shares too small to count took
+    due = lambda s, j: -(-(j + 1) * one // k[s])
+    future, ready = [(0, s) for s in range(len(k)) if blocks[s]], []
+    done, left, t = [0] * len(k), sum(blocks), 0
+    sources, slots = np.empty(left, np.int64), np.empty(left, np.int64)
+    while left:
+        if not ready and future[0][0] > t:
+            t = future[0][0]
+        while future and future[0][0] <= t:
+            s = heapq.heappop(future)[1]
+            heapq.heappush(ready, (due(s, done[s]), s))
+        s = heapq.heappop(ready)[1]
+        sources[-left], slots[-left] = s, t
+        left -= 1
+        done[s] += 1
+        if done[s] < blocks[s]:
+            heapq.heappush(future, (done[s] * one // k[s], s))
+        t += 1
+    return sources, slots
+
+
+def ranked(docs: DataFrame, most: int) -> DataFrame:
+    """docs with __source, __rank in it, __block. most: rows of the largest source."""
     rows = docs.withColumns({"__source": F.coalesce("source", F.lit("")), "__order": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))})
-    most = max((n for _, n, _ in sources), default=0)
     digits = max(1, math.ceil(math.log(max(most, BUCKET_ROWS) / BUCKET_ROWS, 16)))
     rows = rows.withColumn("__bucket", F.substring("__order", 1, digits))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -76,7 +119,12 @@ def placed(docs: DataFrame, slots: DataFrame, sources: list[tuple[str, int, int]
     buckets = small_or_not(stored(buckets.select(F.col("source").alias("__s"), F.col("bucket").alias("__b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))))
     out = rows.withColumn("__row", F.row_number().over(Window.partitionBy("__source", "__bucket").orderBy("__order", "doc_id")))
     out = out.join(buckets, (F.col("__source") == F.col("__s")) & (F.col("__bucket") == F.col("__b")))
-    out = out.withColumn("__rank", F.col("__before") + F.col("__row") - 1).withColumn("__block", F.expr(f"__rank div {BLOCK}"))
+    return out.withColumn("__rank", F.col("__before") + F.col("__row") - 1).withColumn("__block", F.expr(f"__rank div {BLOCK}"))
+
+
+def placed(docs: DataFrame, slots: DataFrame, sources: list[tuple[str, int, int]]) -> DataFrame:
+    """docs with __source, __block, __release, __due, __slot, __offset. Sorted by (__slot, __offset) they are the mix."""
+    out = ranked(docs, max((n for _, n, _ in sources), default=0))
     quota = F.broadcast(slots.select(F.col("source").alias("__q"), F.col("k").alias("__k")).distinct())  # MAX_SOURCES rows at most
     out = out.join(quota, F.col("__source") == F.col("__q")).withColumns({"__turn": F.expr("__block div __k"), "__i": F.expr("__block % __k")})
     slots = F.broadcast(slots.select(F.col("source").alias("__p"), F.col("i").alias("__pi"), F.col("slot").alias("__pslot")))  # PERIOD rows
@@ -95,15 +143,28 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFr
 def mix(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """All rows of docs, in the order of the mix over its partitions and in each of them.
 
-    How many rows come before a slot follows from the sources' sizes, to within a block each, so slots are dealt to
-    even partitions without sampling.
+    How many rows come before a block follows from the schedule, so blocks are dealt to even partitions without sampling.
     """
-    slots, sources = plan(docs.select("source"), weights)
-    parts, rows = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(n for _, n, _ in sources) or 1
-    sizes = F.array(*[F.struct(F.lit(float(n)).alias("n"), F.lit(k * BLOCK / PERIOD).alias("c")) for _, n, k in sources or [("", 1, 1)]])
-    earlier = F.aggregate(sizes, F.lit(0.0), lambda a, x: a + F.least(x["n"], F.col("__slot") * x["c"]))
-    out = placed(docs, slots, sources)
-    return out.repartitionById(parts, F.least(F.floor(earlier * parts / rows), F.lit(parts - 1)).cast("int")).sortWithinPartitions("__slot", "__offset").select(*docs.columns)
+    spark = docs.sparkSession
+    counts = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("n")).orderBy("source").collect()
+    if len(counts) > MAX_SOURCES:
+        raise ValueError(f"{len(counts)} sources; {MAX_SOURCES} at most")
+    parts, rows = int(spark.conf.get("spark.sql.shuffle.partitions")), sum(r.n for r in counts) or 1
+    given = [float((weights or {}).get(r.source, math.sqrt(r.n))) for r in counts]
+    n = np.array([r.n for r in counts], np.int64)
+    of, slot = exact(given, (-(-n // BLOCK)).tolist())
+    by = np.argsort(of, kind="stable")
+    first = np.cumsum(np.r_[0, -(-n // BLOCK)])[:-1]
+    block = np.empty(len(of), np.int64)
+    block[by] = np.arange(len(of)) - np.repeat(first, -(-n // BLOCK))
+    size = np.minimum(BLOCK, n[of] - block * BLOCK)
+    part = np.minimum((np.cumsum(size) - size) * parts // rows, parts - 1)
+    names = pa.array([r.source for r in counts], pa.string()).take(pa.array(of))
+    table = pa.table([names, pa.array(block), pa.array(slot), pa.array(part.astype(np.int32))], names=["__s", "__b", "__slot", "__part"])
+    slots = small_or_not(stored(spark.createDataFrame(table)))
+    out = ranked(docs, max((r.n for r in counts), default=0)).drop("__s", "__b")
+    out = out.join(slots, (F.col("__source") == F.col("__s")) & (F.col("__block") == F.col("__b")))
+    return out.repartitionById(parts, F.col("__part")).sortWithinPartitions("__slot", "__rank").select(*docs.columns)
 
 
 ORACLE_SQL = f"""

@@ -50,6 +50,29 @@ def test_given_weights_and_order(spark, monkeypatch):
         assert abs(mixed[:n].count("a") - 0.75 * n) <= 5
 
 
+@pytest.mark.parametrize("weights", [[0.5] + [0.5 / 19] * 19, [0.5] + [0.5 / 99] * 99, [1.0], [3.0, 1.0], [2**0.5, 3**0.5, 5**0.5, 1e-4], [7.0] * 3])
+def test_exact_schedule_stays_within_a_block_of_the_given_weights(weights):
+    shares = [Fraction(w) / sum(map(Fraction, weights)) for w in weights]
+    blocks = [int(7000 * w) + 3 for w in shares]  # seven periods
+    sources, slots = mixing.exact(weights, blocks)
+    assert Counter(sources.tolist()) == {s: n for s, n in enumerate(blocks) if n} and (slots[1:] > slots[:-1]).all()
+    done = [0] * len(weights)
+    for n, (s, t) in enumerate(zip(sources.tolist(), slots.tolist(), strict=True)):
+        done[s] += 1
+        assert abs(shares[s] * (t + 1) - done[s]) < 1 + Fraction(1, 1000)
+        if n % 50 == 0 and t < 7000:
+            assert all(abs(w * (t + 1) - d) < 1 + Fraction(1, 1000) for w, d in zip(shares, done, strict=True))
+
+
+def test_the_mix_keeps_a_target_of_a_half_beside_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 1)
+    docs = [(k, f"t{k}", "en", "a" if k < 1000 else f"s{k % 100:02}") for k in range(2000)]
+    rows = [r.source for part in mixing.mix(odd.frame(spark, docs), {"a": 0.5} | {f"s{k:02}": 0.005 for k in range(100)}).rdd.glom().collect() for r in part]
+    assert len(rows) == 2000
+    for n in range(1, 1900):
+        assert abs(rows[:n].count("a") - n / 2) <= 1
+
+
 def test_empty_table_and_too_many_sources(spark):
     assert mixing.schedule(odd.frame(spark, [])).count() == 0 and mixing.mix(odd.frame(spark, [])).count() == 0
     with pytest.raises(ValueError):
