@@ -147,8 +147,6 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     counts = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("n")).orderBy("source").collect()
-    if len(counts) > MAX_SOURCES:
-        raise ValueError(f"{len(counts)} sources; {MAX_SOURCES} at most")
     parts, rows = int(spark.conf.get("spark.sql.shuffle.partitions")), sum(r.n for r in counts) or 1
     given = [float((weights or {}).get(r.source, math.sqrt(r.n))) for r in counts]
     n = np.array([r.n for r in counts], np.int64)

@@ -73,6 +73,11 @@ def test_the_mix_keeps_a_target_of_a_half_beside_many_sources(spark, monkeypatch
         assert abs(rows[:n].count("a") - n / 2) <= 1
 
 
+def test_the_mix_takes_any_number_of_sources(spark):
+    docs = [(k, f"t{k}", "en", f"s{k % 1203}") for k in range(2500)]
+    assert sorted(r.doc_id for r in mixing.mix(odd.frame(spark, docs)).collect()) == list(range(2500))
+
+
 def test_empty_table_and_too_many_sources(spark):
     assert mixing.schedule(odd.frame(spark, [])).count() == 0 and mixing.mix(odd.frame(spark, [])).count() == 0
     with pytest.raises(ValueError):
