@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from readloom.llm import bpe, mixing, quality, secrets, simhash
 from readloom.llm.common import stored, table
 from readloom.llm.queries import vocabulary
 
 
+#: What the rows of a run are sorted by in the order of the mix: part of the mix and row in it.
+PLACE = ("mix_part", "mix_row")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents of a source share go, and documents that fail the rules or have too little left."""
     return quality.clean(docs)
@@ -30,8 +35,8 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, and digests of the ids and of what they decode to."""
-    return bpe.encode_documents(docs, vocabulary())
+    """doc_id, n_tokens, and digests of the ids and of what they decode to; and PLACE if docs have it."""
+    return bpe.encode_documents(docs, vocabulary(), carried=PLACE if set(PLACE) <= set(docs.columns) else ())
 
 
 STAGES = [
@@ -52,4 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs)
+        if stage is mixing_sources:  # reading splits and packs files by size, so the order is taken from where rows were written
+            part = F.regexp_extract("_metadata.file_name", "^part-([0-9]+)", 1).cast("long")
+            docs = docs.select("*", part.alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1]))
     return docs

@@ -202,8 +202,8 @@ def model(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def encode_documents(docs: DataFrame, path: str, *, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids array<int>: one row for each row of docs, without a shuffle."""
+def encode_documents(docs: DataFrame, path: str, *, with_ids: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids array<int>, then the carried columns of longs: one row for each row of docs, without a shuffle."""
     kept = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())] + [pa.field("ids", pa.list_(pa.int32()))] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +219,8 @@ def encode_documents(docs: DataFrame, path: str, *, with_ids: bool = False) -> D
                 if with_ids:
                     lists.append([int(i) for i in joined.split(" ")] if joined else [])
             cols = [batch.column(0), *map(pa.array, (n, ids, plain), (f.type for f in kept[:3]))]
-            yield pa.RecordBatch.from_arrays(cols + ([pa.array(lists, kept[3].type)] if with_ids else []), names=["doc_id", *(f.name for f in kept)])
+            cols += [pa.array(lists, kept[3].type)] if with_ids else []
+            yield pa.RecordBatch.from_arrays(cols + batch.columns[2:], names=["doc_id", *(f.name for f in kept), *carried])
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + "".join(f", {c} long" for c in carried)
+    return docs.select(F.col("doc_id").cast("long"), "text", *carried).mapInArrow(run, schema)

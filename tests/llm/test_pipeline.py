@@ -6,7 +6,7 @@ import odd
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from readloom.llm import quality, secrets
+from readloom.llm import mixing, quality, secrets
 from readloom.llm.queries import vocabulary
 
 
@@ -64,6 +64,17 @@ def test_each_stage_against_brute_force(spark, tmp_path):
     assert {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == want
 
 
+def test_the_order_of_the_mix_is_in_what_a_run_returns(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 2)
+    rnd = random.Random(12)
+    docs = [(k, " ".join(f"w{rnd.randrange(9000)}" for _ in range(40)), "en", "abb"[k % 3]) for k in range(300)]
+    odd.frame(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    mixed = mixing.mix(odd.frame(spark, docs)).rdd.glom().collect()
+    assert len({(r.mix_part, r.mix_row) for r in rows}) == 300
+    assert [r.doc_id for r in sorted(rows, key=lambda r: (r.mix_part, r.mix_row))] == [r.doc_id for part in mixed for r in part]
+
+
 def test_odd_and_empty_documents(spark, tmp_path):
     for name, docs in (("odd", odd.documents()), ("none", [])):
         odd.frame(spark, docs).write.parquet(f"{tmp_path}/{name}/documents.parquet")
