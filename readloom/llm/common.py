@@ -7,9 +7,12 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 #: Rows that a side may have, as counted, to be sent to every executor.
 BROADCAST_ROWS = 200_000
+#: And bytes, as text.
+BROADCAST_BYTES = 64 << 20
 
 #: ASCII white space of the word pattern [^\x20\x09-\x0D]+ ; bytes.split() splits on just these.
 SPACE = " \t\n\x0b\x0c\r"
@@ -38,9 +41,21 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hints a broadcast of df if a count proves that it has so few rows; else Spark shuffles it. df should be stored()."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Hints a broadcast of df if a count proves that it has so few rows and bytes; else Spark shuffles it. df should be stored()."""
+    wide = [f.name for f in df.schema if isinstance(f.dataType, (ArrayType, BinaryType, MapType, StringType, StructType))]
+    text = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*wide)))), F.lit(0)) if wide else F.lit(0)
+    n, chars = df.limit(rows + 1).agg(F.count("*"), text).first()
+    return F.broadcast(df) if n <= rows and chars + 16 * n * len(df.columns) <= size else df
+
+
+def own_names(df: DataFrame, *names: str) -> dict[str, str]:
+    """A column name for each name that no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, {}
+    for name in names:
+        out[name] = next(c for k in range(len(taken) + len(names) + 1) if (c := f"__{name}{k or ''}") not in taken)
+        taken.add(out[name])
+    return out
 
 
 def ascii_lower(text: Column) -> Column:
