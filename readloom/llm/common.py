@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a local one of our own only where that is unset."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where that is unset, a local master gets one of our own; a cluster must name one."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if at is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="readloom-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(at)
@@ -44,9 +47,10 @@ def stored(df: DataFrame) -> DataFrame:
 def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """Hints a broadcast of df if a count proves that it has so few rows and bytes; else Spark shuffles it. df should be stored()."""
     wide = [f.name for f in df.schema if isinstance(f.dataType, (ArrayType, BinaryType, MapType, StringType, StructType))]
-    text = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*wide)))), F.lit(0)) if wide else F.lit(0)
-    n, chars = df.limit(rows + 1).agg(F.count("*"), text).first()
-    return F.broadcast(df) if n <= rows and chars + 16 * n * len(df.columns) <= size else df
+    if (n := df.count()) > rows:
+        return df
+    text = df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*wide)))), F.lit(0))).first()[0] if wide else 0
+    return F.broadcast(df) if text + 16 * n * len(df.columns) <= size else df
 
 
 def own_names(df: DataFrame, *names: str) -> dict[str, str]:
