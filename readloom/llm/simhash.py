@@ -17,8 +17,13 @@ anything is compared. What the filter connects is compared again, by the sets th
 each tile that its component has; only pairs whose sets have the similarity are links. A pair that links join already
 needs no look at its sets.
 
-A null or wordless text has the fingerprint zero and links like any other. Repeated rows are equal fingerprints. A
-row with a null id gets a fingerprint, and the class of its fingerprint; it never names a class unless all its class is null.
+What links is the fingerprint, or the set of shingles, not the row: a class's id is the least id of all rows whose
+fingerprints are connected. A row without an id links like any other and gets its class's id, null only if no row of
+the class has one; an id that stands at several texts is in the class of each.
+
+A null or wordless text has the fingerprint zero and links like any other. Repeated rows are equal fingerprints. A very
+long text is hashed shingle by shingle, its counts a block of hashes at a time. Empty tables give no rows. Other columns
+play no part, whatever their names; keep_one() returns them as they are.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_or_not, stored
+from .common import own_names, small_or_not, stored
 from .components import components
 
 TILE = 2048
@@ -115,13 +120,13 @@ def signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, method: Method) -> DataFrame:
-    """doc_id, fp array<long>, bands array<long>, name binary, of the set of shingles if the method has a similarity: one row for each row of docs, without a shuffle."""
+    """doc_id, text_hash, fp array<long>, bands array<long>, name binary, of the set of shingles if the method has a similarity: one row for each row of docs, without a shuffle."""
     longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps, bands, names = [], [], []
-            for t in batch.column(1):
+            for t in batch.column(2):
                 h = shingle_hashes(t.as_py(), method.shingle)
                 if method.percent:
                     h = np.unique(h)
@@ -129,9 +134,9 @@ def fingerprints(docs: DataFrame, method: Method) -> DataFrame:
                 fps.append([signed(x) for x in fingerprint(h, method.width)])
                 low = minima(h, method.bands * method.rows).tolist()
                 bands.append([signed(xxhash.xxh64_intdigest(repr((k, low[k * method.rows : (k + 1) * method.rows])))) for k in range(method.bands)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, longs), pa.array(bands, longs), pa.array(names, pa.binary())], names=["doc_id", "fp", "bands", "name"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, longs), pa.array(bands, longs), pa.array(names, pa.binary())], names=["doc_id", "text_hash", "fp", "bands", "name"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp array<long>, bands array<long>, name binary")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, fp array<long>, bands array<long>, name binary")
 
 
 def exact_keys(fp: Column) -> Column:
@@ -264,7 +269,7 @@ def set_links(rows: DataFrame, method: Method) -> DataFrame:
 
 
 def sets(docs: DataFrame, connected: DataFrame, method: Method) -> DataFrame:
-    """key, node, fp array<long>, shingles binary (sorted hashes) of docs whose id is a node. connected: node, root; its root is the key."""
+    """key, node, fp array<long>, shingles binary (sorted hashes) of docs whose text's hash is a node. connected: node, root; its root is the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,7 +277,7 @@ def sets(docs: DataFrame, connected: DataFrame, method: Method) -> DataFrame:
             fps = pa.array([[signed(x) for x in fingerprint(x, method.width)] for x in h], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps, pa.array([x.astype("<u8").tobytes() for x in h], pa.binary())], names=["key", "node", "fp", "shingles"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(small_or_not(connected), "node").select(F.col("root").alias("key"), "node", "text")
+    rows = docs.select(F.xxhash64("text").alias("node"), "text").join(small_or_not(connected), "node").select(F.col("root").alias("key"), "node", "text")
     return rows.dropDuplicates(["key", "node", "text"]).mapInArrow(run, "key long, node long, fp array<long>, shingles binary")
 
 
@@ -306,19 +311,24 @@ def alike(pairs: Iterator[tuple[np.ndarray, np.ndarray]], shingles: list[np.ndar
 
 
 def classes(docs: DataFrame, method: Method) -> DataFrame:
-    """doc_id, fp array<long>, component_id: one row for each row of docs."""
+    """doc_id, text_hash, fp array<long>, component_id: one row for each row of docs.
+
+    A node is a fingerprint, or of sets the least hash of the texts that have the set.
+    """
     found = stored(fingerprints(docs, method))
-    same = "name" if method.percent else "fp"
-    if method.bands:
-        unique = found.groupBy(same).agg(F.min("doc_id").alias("node"), *([F.first("fp").alias("fp")] if method.percent else []), F.first("bands").alias("keys"))
+    if method.percent:
+        unique = found.groupBy("name").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("node"), F.first("fp").alias("fp"), F.first("bands").alias("keys"))
     else:
-        unique = found.groupBy(same).agg(F.min("doc_id").alias("node")).withColumn("keys", exact_keys(F.col("fp")[0]))
+        found = found.withColumn("name", F.col("fp")[0])
+        unique = found.groupBy("name").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")).withColumns({"node": F.col("name"), "keys": exact_keys(F.col("name"))})
     unique = stored(unique)
-    joined = components(links(unique.filter("node is not null"), method))
+    joined = components(links(unique, method))
     if method.percent:
         joined = components(set_links(stored(sets(docs, stored(joined), method)), method))
-    of = unique.select(same, "node").join(joined, "node", "left").select(same, F.coalesce("root", "node").alias("component_id"))
-    return found.select("doc_id", "fp", *([same] if method.percent else [])).join(of, same).select("doc_id", "fp", "component_id")
+    linked = stored(unique.select("name", "node", "least").join(joined, "node"))
+    of = linked.select("name", "root").join(linked.groupBy("root").agg(F.min("least").alias("of")), "root").select("name", "of")
+    of = unique.select("name", "least").join(of, "name", "left").select("name", F.coalesce("of", "least").alias("component_id"))
+    return found.select("doc_id", "text_hash", "fp", "name").join(of, "name").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, method: Method = EXACT) -> DataFrame:
@@ -328,9 +338,11 @@ def near_duplicates(docs: DataFrame, method: Method = EXACT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, method: Method = NEAR) -> DataFrame:
-    """docs without those whose class has an earlier id. Rows without an id stay.
+    """docs without those whose class has an earlier id. A row without an id goes if its class has one, else it stays.
 
-    Only the ids that go are joined, broadcast if a count proves them few; else texts move once.
+    Only ids and hashes of texts that go are joined, broadcast if a count proves them few; else texts move once.
     """
-    gone = stored(classes(docs, method).filter("doc_id > component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(small_or_not(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
+    own = own_names(docs, "id", "hash")
+    gone = classes(docs, method).filter("doc_id > component_id or doc_id is null and component_id is not null")
+    gone = small_or_not(stored(gone.select(F.col("doc_id").alias(own["id"]), F.col("text_hash").alias(own["hash"])).distinct()))
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(own["id"])) & (F.xxhash64("text") == F.col(own["hash"])), "left_anti")

@@ -85,7 +85,45 @@ def test_null_ids_repeats_and_empty(spark):
     got = sorted(((r.doc_id or -1, r.component_id) for r in simhash.near_duplicates(df).collect()), key=str)
     assert got == sorted([(-1, 4), (4, 4), (4, 4), (-1, None)], key=str)
     assert simhash.near_duplicates(df.limit(0)).count() == 0
-    assert simhash.keep_one(df).count() == 4
+    assert sorted(str(r.doc_id) for r in simhash.keep_one(df).collect()) == ["4", "4", "None"]
+
+
+def by_hand(spark, monkeypatch, rows, method):
+    """Classes of rows (doc_id, fingerprint), each with a text of its own."""
+    made = "doc_id long, text_hash long, fp array<long>, bands array<long>, name binary"
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, m: spark.createDataFrame([(i, f, [f], [], None) for i, f in rows], made))
+    return sorted(((r.doc_id if r.doc_id is not None else -1, r.component_id) for r in simhash.classes(None, method).collect()), key=str)
+
+
+def test_rows_without_an_id_link_and_an_id_of_two_texts_joins_no_others(spark, monkeypatch):
+    assert by_hand(spark, monkeypatch, [(1, 0b0), (None, 0b11), (2, 0b1111)], simhash.EXACT) == [(-1, 1), (1, 1), (2, 1)]
+    far = [(5, 0), (5, -65536), (2, -65535)]
+    assert by_hand(spark, monkeypatch, far, simhash.EXACT) == [(2, 2), (5, 2), (5, 5)]
+    assert by_hand(spark, monkeypatch, [(None, 7), (None, 7), (None, 5)], simhash.EXACT) == [(-1, None)] * 3
+
+
+def test_near_method_with_null_and_repeated_ids(spark):
+    rnd = random.Random(4)
+    base, other = ([f"{c}{rnd.randrange(9000)}" for _ in range(200)] for c in "xy")
+    near = [*base[:100], "edit", *base[101:]]
+    rows = [(7, base), (None, near), (9, near), (7, other), (3, [*other, "more"]), (None, ["alone"] * 9)]
+    df = spark.createDataFrame([(i, " ".join(t), "", "", "") for i, t in rows], SCHEMA)
+    assert sorted((str(r.doc_id), r.text.split()[0][0]) for r in simhash.keep_one(df).collect()) == [("3", "y"), ("7", "x"), ("None", "a")]
+
+
+def test_recall_at_the_threshold_over_many_pairs(spark):
+    """Copies of a similarity of 0.8 to 0.9 among texts of 60 to 400 words: at least 0.99 of them go, and no other text."""
+    rnd = random.Random(21)
+    docs, gone = [], set()
+    for k in range(300):
+        base = [f"w{rnd.randrange(200_000)}" for _ in range(rnd.randint(60, 400))]
+        copy, like = edited(rnd, base, rnd.choice([0.8, 0.82, 0.86, 0.9]))
+        docs += [base, copy]
+        gone.add(2 * k + 1)
+        assert like >= 0.8
+    df = spark.createDataFrame([(i, " ".join(t), "", "", "") for i, t in enumerate(docs)], SCHEMA)
+    left = {r.doc_id for r in simhash.keep_one(df).collect()}
+    assert len(gone - left) >= 0.99 * len(gone) and not set(range(len(docs))) - gone - left
 
 
 def test_near_method_keeps_one_of_each(spark):
