@@ -2,142 +2,125 @@
 
 Each source's documents, in an order drawn from doc_id, are cut into blocks of BLOCK documents. A source of weight w
 has its block j (from 0) released at slot floor(j / w) and due by slot ceil((j + 1) / w); each slot goes to the
-released block with the earliest deadline. Weights that sum to 1 always meet all deadlines that way, so at every slot
-each source that has blocks left is less than one block off its target. Weights are multiples of 1 / PERIOD; the
-schedule then repeats after PERIOD slots, so only one period is worked out, in one row, and all blocks look their slot up in it.
-A source that runs out leaves its slots empty: no row is dropped or repeated.
+released block with the earliest deadline, ties to the lesser source. Weights that sum to 1 always meet all deadlines
+that way, so at every slot each source that has blocks left is less than one block off its target. A source that runs
+out leaves its slots empty: no row is dropped or repeated.
 
-That rounding pulls weights toward uniform, and its error adds up over periods. So mix() doesn't use it: exact() works out
-the same schedule from the weights themselves, to 2**-SCALE, over all blocks that exist and any number of sources. That
-is a heap on the driver, of a step for each block; what the driver holds is a row of numbers for 64 documents.
+Weights are whole numbers k of a total: a weight times UNIT, rounded down, 1 at least. Windows come from k and the total by whole
+numbers, with no period and no rounding that adds up, over all blocks that exist and any number of sources.
 
-Only DataFrame functions run on rows. What grows with the data is one narrow shuffle by (source, bucket of the order),
-which a source of any size is spread over; ranks are counts of earlier buckets plus a row number in the own one. Of
-size-bounded things schedule() has the source list (MAX_SOURCES at most, else an error) and the period's PERIOD rows.
+Earliest deadline first depends on all that went before, so blocks are scheduled in order, in steps of ROUNDS * TURNS
+blocks: a step is one expression over one row, the state of each source, and leaves its picks and the next state in the
+shared folder. Neither a task nor the driver ever holds more than a step, and a lost executor repeats one step.
 
-A null source is the source ''; rows with null or repeated ids each have their own place; an empty table gives no rows.
+Only DataFrame functions run on rows. What grows with the data is a narrow shuffle by (source, bucket of the order),
+which a source of any size is spread over; ranks are counts of earlier buckets plus a row number in the own one. A block's
+slot is joined by (source, block), a pair that BLOCK rows share at most.
+
+A null source is the source ''; rows with null or repeated ids each have their own place, in no set order among equal ids.
+Texts, null, empty or very long, are only carried. An empty table gives no rows. Other columns stay, whatever their names.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
-from fractions import Fraction
+import uuid
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_or_not, stored
+from .common import own_names, shared_dir, small_or_not, stored
 
 BLOCK = 64
-PERIOD = 1000
-MAX_SOURCES = 500
-#: Weights of mix() are multiples of 2**-SCALE.
-SCALE = 40
+#: Weights are whole multiples of 1 / UNIT.
+UNIT = 1 << 36
+#: A step's blocks, in rounds of turns.
+ROUNDS, TURNS = 64, 128
 #: Rows that a bucket of a source should have at most, on average.
 BUCKET_ROWS = 20_000
 
+PICKS = "step int, nth int, source string, block long, release_slot long, due_slot long, slot long, rows long"
+SOURCE = "source string, k long, n long, blocks long, done long, at long, rest long"
 
-def shares(counts: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """source, k: of PERIOD slots, at least one each. counts: source, n.
 
-    Weights not given are the square root of the source's count of rows, so that small sources are not drowned.
-    """
+def weighted(counts: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """source, k, n. counts: source, n. Weights not given are the square root of the source's count of rows, so that small sources are not drowned."""
     given = F.coalesce(*[F.when(F.col("source") == s, F.lit(float(w))) for s, w in weights.items()], F.sqrt("n")) if weights else F.sqrt("n")
-    all_ = Window.partitionBy()
-    w = counts.select("source", given.alias("w")).select("source", (F.col("w") / F.sum("w").over(all_) * (PERIOD - F.count("*").over(all_))).alias("x"))
-    w = w.select("source", (1 + F.floor("x")).alias("k"), (F.col("x") - F.floor("x")).alias("rest"))
-    spare = PERIOD - F.sum("k").over(all_)
-    return w.select("source", (F.col("k") + (F.row_number().over(Window.orderBy(F.desc("rest"), "source")) <= spare).cast("long")).cast("long").alias("k"))
-
-
-def period(quotas: DataFrame) -> DataFrame:
-    """source, k, i, slot: where block i of a period stands, earliest deadline first among the released."""
-    sources = quotas.agg(F.array_sort(F.collect_list(F.struct("source", "k"))).alias("q"))
-    # each step picks from the counts, then counts the pick
-    step = f"""aggregate(sequence(0, {PERIOD} - 1), struct(transform(q, x -> 0L) as done, cast(array() as array<int>) as picks),
-        (s, t) -> transform(array(array_min(transform(q, (x, i) ->
-            if(s.done[i] < x.k and (s.done[i] * {PERIOD}) div x.k <= t, struct(((s.done[i] + 1) * {PERIOD} + x.k - 1) div x.k as due, i as i), null))).i),
-            pick -> struct(transform(s.done, (n, i) -> n + if(i = pick, 1L, 0L)) as done, array_append(s.picks, pick) as picks))[0],
-        s -> s.picks)"""
-    picks = sources.filter(F.size("q") > 0).select("q", F.posexplode(F.expr(step)).alias("slot", "pick")).select(F.expr("q[pick].source").alias("source"), F.expr("q[pick].k").alias("k"), "slot")
-    return picks.select("source", "k", (F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1).cast("long").alias("i"), F.col("slot").cast("long"))
-
-
-def plan(docs: DataFrame, weights: dict[str, float] | None = None) -> tuple[DataFrame, list[tuple[str, int, int]]]:
-    """period() of docs, and source, rows and slots of a period for each source: MAX_SOURCES at most."""
-    counts = stored(docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("n")))
-    if (sources := counts.count()) > MAX_SOURCES:
-        raise ValueError(f"{sources} sources; a period of {PERIOD} slots holds {MAX_SOURCES}")
-    slots = stored(period(shares(counts, weights)))
-    return slots, [tuple(r) for r in counts.join(slots.select("source", "k").distinct(), "source").select("source", "n", "k").collect()]
+    return counts.select("source", F.greatest(F.lit(1).cast("long"), F.floor(given * UNIT).cast("long")).alias("k"), F.col("n").cast("long").alias("n"))
+
+
+def start(quotas: DataFrame) -> DataFrame:
+    """One row: total, slot 0, and of each source its next block, with the slot at which that is released and what is left over of that division."""
+    zero = F.lit(0).cast("long")
+    each = F.struct("source", "k", "n", F.expr(f"(n + {BLOCK - 1}) div {BLOCK}").alias("blocks"), zero.alias("done"), zero.alias("at"), zero.alias("rest"))
+    return quotas.agg(F.coalesce(F.sum("k"), zero).alias("total"), zero.alias("t"), F.array_sort(F.collect_list(each)).alias("q"))
 
 
-def exact(weights: list[float], blocks: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """source and slot of each block, by slot: windows from the weights, earliest deadline first, ties to the lesser source.
+def steps() -> Column:
+    """From total, t and q: struct(t, q, picks array<array>) after ROUNDS * TURNS blocks, or as many as there are.
 
-    A source holds no slots after its last block; where no block is released, slots stay empty and cost no step.
+    A turn places a block: at the next slot, or where that is later, at the first release of all.
     """
-    if not weights:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    one, total = 1 << SCALE, sum(map(Fraction, weights))
-    share = [Fraction(w) / total * one for w in weights]
-    k = [max(1, math.floor(x)) for x in share]
-    spare = one - sum(k)
-    for s in sorted(range(len(k)), key=lambda s: k[s] - share[s])[: max(0, spare)]:
-        k[s] += 1
-    k[max(range(len(k)), key=k.__getitem__)] += min(0, spare)  # what shares too small to count took
-    due = lambda s, j: -(-(j + 1) * one // k[s])
-    future, ready = [(0, s) for s in range(len(k)) if blocks[s]], []
-    done, left, t = [0] * len(k), sum(blocks), 0
-    sources, slots = np.empty(left, np.int64), np.empty(left, np.int64)
-    while left:
-        if not ready and future[0][0] > t:
-            t = future[0][0]
-        while future and future[0][0] <= t:
-            s = heapq.heappop(future)[1]
-            heapq.heappush(ready, (due(s, done[s]), s))
-        s = heapq.heappop(ready)[1]
-        sources[-left], slots[-left] = s, t
-        left -= 1
-        done[s] += 1
-        if done[s] < blocks[s]:
-            heapq.heappush(future, (done[s] * one // k[s], s))
-        t += 1
-    return sources, slots
-
-
-def ranked(docs: DataFrame, most: int) -> DataFrame:
-    """docs with __source, __rank in it, __block. most: rows of the largest source."""
-    rows = docs.withColumns({"__source": F.coalesce("source", F.lit("")), "__order": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))})
+    after = "struct(x.source as source, x.k as k, x.n as n, x.blocks as blocks, x.done + 1 as done, x.at + total div x.k + if(x.rest + total % x.k >= x.k, 1, 0) as at, (x.rest + total % x.k) % x.k as rest)"
+    due = f"{after}.at + if({after}.rest > 0, 1, 0)"
+    now = "greatest(s.t, array_min(transform(s.q, x -> if(x.done < x.blocks, x.at, null))))"
+    pick = f"array_min(transform(s.q, (x, i) -> if(x.done < x.blocks and x.at <= now, struct({due} as due, i as i), null)))"
+    # lambdas name what they use again: first the slot, then the pick
+    turn = f"""if(not exists(s.q, x -> x.done < x.blocks), s, transform(array({now}), now -> transform(array({pick}), p -> struct(now + 1 as t,
+        transform(s.q, (x, i) -> if(i = p.i, {after}, x)) as q,
+        array_append(s.picks, struct(p.i as i, s.q[p.i].done as block, s.q[p.i].at as released, p.due as due, now as slot)) as picks))[0])[0])"""
+    none = "cast(array() as array<struct<i:int,block:bigint,released:bigint,due:bigint,slot:bigint>>)"
+    rounds = f"""aggregate(sequence(1, {ROUNDS}), struct(t as t, q as q, cast(array() as array<array<struct<i:int,block:bigint,released:bigint,due:bigint,slot:bigint>>>) as all),
+        (r, u) -> transform(array(aggregate(sequence(1, {TURNS}), struct(r.t as t, r.q as q, {none} as picks), (s, v) -> {turn})), d -> struct(d.t as t, d.q as q, array_append(r.all, d.picks) as all))[0])"""
+    return F.expr(rounds)
+
+
+def picks(quotas: DataFrame) -> DataFrame:
+    """PICKS: every block of every source, at its slot, earliest deadline first. quotas: source, k, n."""
+    spark = quotas.sparkSession
+    path = f"{shared_dir(spark)}/readloom/{uuid.uuid4().hex}"
+    now, step = stored(start(quotas)), 0
+    state = f"total long, t long, q array<struct<{', '.join(f'{n}:{k}' for n, k in (x.split() for x in SOURCE.split(', ')))}>>"
+    while now.filter(F.exists("q", lambda x: x["done"] < x["blocks"])).count():
+        now.select("total", steps().alias("r")).select("total", "r.t", "r.q", F.flatten("r.all").alias("picks")).write.parquet(f"{path}/step={step}")
+        now = spark.read.schema(state).parquet(f"{path}/step={step}")
+        step += 1
+    if not step:
+        return spark.createDataFrame([], PICKS)
+    each = "array<struct<i:int,block:bigint,released:bigint,due:bigint,slot:bigint>>"
+    rows = spark.read.schema(f"{state}, picks {each}, step int").parquet(path).select("step", "q", F.posexplode("picks").alias("nth", "p"))
+    rows = rows.select("step", "nth", F.expr("q[p.i].source").alias("source"), "p.block", F.col("p.released").alias("release_slot"), F.col("p.due").alias("due_slot"), "p.slot", F.expr(f"least({BLOCK}, q[p.i].n - p.block * {BLOCK})").alias("rows"))
+    return stored(rows.select(*[x.split()[0] for x in PICKS.split(", ")]))
+
+
+def plan(docs: DataFrame, weights: dict[str, float] | None = None) -> tuple[DataFrame, int]:
+    """picks() of docs, and the rows of the largest source."""
+    counts = stored(docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("n")))
+    return picks(weighted(counts, weights)), counts.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+
+
+def placed(docs: DataFrame, blocks: DataFrame, most: int, *carried: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns of their own for source, block, rank in it, and those named of blocks; and how these are called. most: rows of the largest source."""
+    own = own_names(docs, "source", "order", "bucket", "before", "row", "block", "offset", "s", "b", *carried)
+    rows = docs.withColumns({own["source"]: F.coalesce("source", F.lit("")), own["order"]: F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))})
     digits = max(1, math.ceil(math.log(max(most, BUCKET_ROWS) / BUCKET_ROWS, 16)))
-    rows = rows.withColumn("__bucket", F.substring("__order", 1, digits))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = rows.groupBy(F.col("__source").alias("source"), F.col("__bucket").alias("bucket")).agg(F.count("*").alias("n"))
-    buckets = small_or_not(stored(buckets.select(F.col("source").alias("__s"), F.col("bucket").alias("__b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))))
-    out = rows.withColumn("__row", F.row_number().over(Window.partitionBy("__source", "__bucket").orderBy("__order", "doc_id")))
-    out = out.join(buckets, (F.col("__source") == F.col("__s")) & (F.col("__bucket") == F.col("__b")))
-    return out.withColumn("__rank", F.col("__before") + F.col("__row") - 1).withColumn("__block", F.expr(f"__rank div {BLOCK}"))
-
-
-def placed(docs: DataFrame, slots: DataFrame, sources: list[tuple[str, int, int]]) -> DataFrame:
-    """docs with __source, __block, __release, __due, __slot, __offset. Sorted by (__slot, __offset) they are the mix."""
-    out = ranked(docs, max((n for _, n, _ in sources), default=0))
-    quota = F.broadcast(slots.select(F.col("source").alias("__q"), F.col("k").alias("__k")).distinct())  # MAX_SOURCES rows at most
-    out = out.join(quota, F.col("__source") == F.col("__q")).withColumns({"__turn": F.expr("__block div __k"), "__i": F.expr("__block % __k")})
-    slots = F.broadcast(slots.select(F.col("source").alias("__p"), F.col("i").alias("__pi"), F.col("slot").alias("__pslot")))  # PERIOD rows
-    out = out.join(slots, (F.col("__source") == F.col("__p")) & (F.col("__i") == F.col("__pi")))
-    at = f"__turn * {PERIOD}"
-    return out.select(*docs.columns, "__source", "__block", F.expr(f"{at} + (__i * {PERIOD}) div __k").alias("__release"), F.expr(f"{at} + ((__i + 1) * {PERIOD} + __k - 1) div __k").alias("__due"), F.expr(f"{at} + __pslot").alias("__slot"), F.expr(f"__rank % {BLOCK}").alias("__offset"))
+    rows = rows.withColumn(own["bucket"], F.substring(own["order"], 1, digits))
+    before = Window.partitionBy(own["s"]).orderBy(own["b"]).rowsBetween(Window.unboundedPreceding, -1)
+    buckets = rows.groupBy(F.col(own["source"]).alias(own["s"]), F.col(own["bucket"]).alias(own["b"])).agg(F.count("*").alias("n"))
+    buckets = small_or_not(stored(buckets.select(own["s"], own["b"], F.coalesce(F.sum("n").over(before), F.lit(0)).alias(own["before"]))))
+    out = rows.withColumn(own["row"], F.row_number().over(Window.partitionBy(own["source"], own["bucket"]).orderBy(own["order"], "doc_id")))
+    out = out.join(buckets, (F.col(own["source"]) == F.col(own["s"])) & (F.col(own["bucket"]) == F.col(own["b"]))).drop(own["s"], own["b"])
+    rank = F.col(own["before"]) + F.col(own["row"]) - 1
+    out = out.withColumns({own["block"]: F.floor(rank / BLOCK).cast("long"), own["offset"]: (rank % BLOCK).cast("long")})
+    slots = small_or_not(blocks.select(F.col("source").alias(own["s"]), F.col("block").alias(own["b"]), *[F.col(c).alias(own[c]) for c in carried]))
+    return out.join(slots, (F.col(own["source"]) == F.col(own["s"])) & (F.col(own["block"]) == F.col(own["b"]))), own
 
 
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """doc_id, source, block, release_slot, due_slot, slot, place: one row for each row of docs, by narrow columns only."""
     docs = docs.select("doc_id", "source")
-    out = placed(docs, *plan(docs, weights))
-    return out.select("doc_id", F.col("__source").alias("source"), F.col("__block").alias("block"), F.col("__release").alias("release_slot"), F.col("__due").alias("due_slot"), F.col("__slot").alias("slot"), F.col("__offset").alias("place"))
+    out, own = placed(docs, *plan(docs, weights), "release_slot", "due_slot", "slot")
+    return out.select("doc_id", *[F.col(own[c]).alias(c) for c in ("source", "block", "release_slot", "due_slot", "slot")], F.col(own["offset"]).alias("place"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -145,46 +128,39 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
 
     How many rows come before a block follows from the schedule, so blocks are dealt to even partitions without sampling.
     """
-    spark = docs.sparkSession
-    counts = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("n")).orderBy("source").collect()
-    parts, rows = int(spark.conf.get("spark.sql.shuffle.partitions")), sum(r.n for r in counts) or 1
-    given = [float((weights or {}).get(r.source, math.sqrt(r.n))) for r in counts]
-    n = np.array([r.n for r in counts], np.int64)
-    of, slot = exact(given, (-(-n // BLOCK)).tolist())
-    by = np.argsort(of, kind="stable")
-    first = np.cumsum(np.r_[0, -(-n // BLOCK)])[:-1]
-    block = np.empty(len(of), np.int64)
-    block[by] = np.arange(len(of)) - np.repeat(first, -(-n // BLOCK))
-    size = np.minimum(BLOCK, n[of] - block * BLOCK)
-    part = np.minimum((np.cumsum(size) - size) * parts // rows, parts - 1)
-    names = pa.array([r.source for r in counts], pa.string()).take(pa.array(of))
-    table = pa.table([names, pa.array(block), pa.array(slot), pa.array(part.astype(np.int32))], names=["__s", "__b", "__slot", "__part"])
-    slots = small_or_not(stored(spark.createDataFrame(table)))
-    out = ranked(docs, max((r.n for r in counts), default=0)).drop("__s", "__b")
-    out = out.join(slots, (F.col("__source") == F.col("__s")) & (F.col("__block") == F.col("__b")))
-    return out.repartitionById(parts, F.col("__part")).sortWithinPartitions("__slot", "__rank").select(*docs.columns)
+    blocks, most = plan(docs, weights)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of = blocks.groupBy("step").agg(F.sum("rows").alias("all"))  # few rows: one a step
+    of = of.select(F.col("step").alias("of"), F.coalesce(F.sum("all").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("past"), F.sum("all").over(Window.partitionBy()).alias("total"))
+    inner = F.coalesce(F.sum("rows").over(Window.partitionBy("step").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.withColumn("inner", inner).join(F.broadcast(of), F.col("step") == F.col("of"))
+    blocks = stored(blocks.select("source", "block", "slot", F.expr(f"cast((past + inner) * {parts} div total as int)").alias("part")))
+    out, own = placed(docs, blocks, most, "slot", "part")
+    return out.repartitionById(parts, F.col(own["part"])).sortWithinPartitions(own["slot"], own["offset"]).select(*docs.columns)
 
 
 ORACLE_SQL = f"""
 with recursive counts as (select coalesce(source, '') as source, count(*) as n from documents group by 1),
-w as (select source, sqrt(n) / (select sum(sqrt(n)) from counts) * ({PERIOD} - (select count(*) from counts)) as x from counts),
-f as (select source, 1 + cast(floor(x) as bigint) as k, x - floor(x) as rest from w),
-q as (select source, k + case when row_number() over (order by rest desc, source) <= {PERIOD} - (select sum(k) from f) then 1 else 0 end as k from f),
-lists as (select list(cast(k as bigint) order by source) as ks, list(source order by source) as names from q),
-edf as (
-  select 0 as t, list_transform(ks, lambda k: cast(0 as bigint)) as done, cast(-1 as bigint) as pick from lists
+quota as (select source, greatest(1, cast(floor(sqrt(n) * {UNIT}) as bigint)) as k, cast((n + {BLOCK - 1}) // {BLOCK} as bigint) as blocks from counts),
+lists as (select list(k order by source) as ks, list(blocks order by source) as bs, list(source order by source) as names, cast(sum(k) as bigint) as total, cast(sum(blocks) as bigint) as all_blocks from quota),
+free as (
+  select cast(0 as bigint) as n, cast(0 as bigint) as t, list_transform(ks, lambda k: cast(0 as bigint)) as done, cast(0 as bigint) as pick, cast(0 as bigint) as slot, cast(0 as bigint) as block from lists
   union all
-  select t + 1, list_transform(done, lambda n, i: n + case when i = p then 1 else 0 end), p
-  from (select t, done, list_min(list_filter(list_transform(ks, lambda k, i: case when done[i] < k and (done[i] * {PERIOD}) // k <= t
-          then (((done[i] + 1) * {PERIOD} + k - 1) // k) * 100000 + i end), lambda x: x is not null)) % 100000 as p
-        from edf, lists where t < {PERIOD})
+  select n + 1, now + 1, list_transform(done, lambda d, i: d + case when i = p then 1 else 0 end), p, now, done[p]
+  from (
+    select n, done, now, ks, list_min(list_filter(list_transform(ks, lambda k, i: case when done[i] < bs[i] and (cast(done[i] as hugeint) * total) // k <= now
+        then row(cast(((cast(done[i] as hugeint) + 1) * total + k - 1) // k as bigint), i) end), lambda x: x is not null))[2] as p
+    from (
+      select n, done, ks, bs, total, greatest(t, list_min(list_filter(list_transform(ks, lambda k, i: case when done[i] < bs[i] then cast((cast(done[i] as hugeint) * total) // k as bigint) end), lambda x: x is not null))) as now
+      from free, lists where n < all_blocks
+    )
+  )
+),
+slots as (
+  select names[pick] as source, block, slot, cast((cast(block as hugeint) * total) // ks[pick] as bigint) as release_slot, cast(((cast(block as hugeint) + 1) * total + ks[pick] - 1) // ks[pick] as bigint) as due_slot
+  from free, lists where n > 0
 ),
-slots as (select names[pick] as source, ks[pick] as k, t - 1 as slot, row_number() over (partition by pick order by t) - 1 as i from edf, lists where pick > 0),
-ranked as (select doc_id, coalesce(source, '') as source, row_number() over (partition by coalesce(source, '') order by md5(coalesce(cast(doc_id as varchar), '')), doc_id) - 1 as r from documents),
-b as (select doc_id, source, r // {BLOCK} as block, r % {BLOCK} as place from ranked)
-select doc_id, b.source, cast(block as bigint) as block,
-  cast((block // s.k) * {PERIOD} + (s.i * {PERIOD}) // s.k as bigint) as release_slot,
-  cast((block // s.k) * {PERIOD} + ((s.i + 1) * {PERIOD} + s.k - 1) // s.k as bigint) as due_slot,
-  cast((block // s.k) * {PERIOD} + s.slot as bigint) as slot, cast(place as bigint) as place
-from b join slots s on s.source = b.source and s.i = block % s.k
+ranked as (select doc_id, coalesce(source, '') as source, row_number() over (partition by coalesce(source, '') order by md5(coalesce(cast(doc_id as varchar), '')), doc_id) - 1 as r from documents)
+select doc_id, s.source, s.block, s.release_slot, s.due_slot, s.slot, cast(r % {BLOCK} as bigint) as place
+from ranked r join slots s on s.source = r.source and s.block = r.r // {BLOCK}
 """

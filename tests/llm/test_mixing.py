@@ -7,18 +7,40 @@ import pytest
 from readloom.llm import mixing
 
 
-@pytest.mark.parametrize("ks", [[1000], [500, 500], [333, 333, 334], [1, 999], [7, 13, 980], [100] * 10, [1, 2, 3, 994], [17] * 50 + [150]])
-def test_a_period_keeps_windows_and_deviates_less_than_a_block(spark, ks):
-    quotas = spark.createDataFrame([(f"s{k:02}", n) for k, n in enumerate(ks)], "source string, k long")
-    slots = sorted((r.slot, r.source, r.i) for r in mixing.period(quotas).collect())
-    assert [s for s, _, _ in slots] == list(range(mixing.PERIOD))
-    done = Counter()
-    for t, source, i in slots:
-        k = ks[int(source[1:])]
-        assert i == done[source] and i * mixing.PERIOD // k <= t < -(-(i + 1) * mixing.PERIOD // k)
-        done[source] += 1
-        for s, n in enumerate(ks):
-            assert abs(Fraction(n * (t + 1), mixing.PERIOD) - done[f"s{s:02}"]) < 1
+def quotas(spark, weights, blocks):
+    rows = [(f"s{k:04}", float(w), n * mixing.BLOCK) for k, (w, n) in enumerate(zip(weights, blocks, strict=True))]
+    frame = spark.createDataFrame(rows, "source string, w double, n long")
+    return mixing.weighted(frame, {s: w for s, w, _ in rows})
+
+
+def by_heap(ks, blocks):
+    """The same schedule from its definition: release floor(j * total / k), due ceil((j + 1) * total / k), a slot at a time or where the next release is."""
+    total, done, t, out = sum(ks), [0] * len(ks), 0, []
+    while any(d < b for d, b in zip(done, blocks, strict=True)):
+        open_ = [s for s in range(len(ks)) if done[s] < blocks[s]]
+        t = max(t, min(done[s] * total // ks[s] for s in open_))
+        _, s = min((-(-(done[s] + 1) * total // ks[s]), s) for s in open_ if done[s] * total // ks[s] <= t)
+        out.append((s, done[s], t))
+        done[s] += 1
+        t += 1
+    return out
+
+
+@pytest.mark.parametrize("weights", [[1.0], [3.0, 1.0], [7.0] * 3, [0.5] + [0.5 / 19] * 19, [2**0.5, 3**0.5, 5**0.5, 1e-4], [0.0004, 0.9991, 0.0005]])
+def test_schedule_stays_within_a_block_of_the_given_weights(spark, monkeypatch, weights):
+    monkeypatch.setattr(mixing, "ROUNDS", 16)
+    shares = [Fraction(w) / sum(map(Fraction, weights)) for w in weights]
+    blocks = [int((10_000 if min(weights) == 0.0004 else 2100) * w) + 3 for w in shares]
+    frame = quotas(spark, weights, blocks)
+    got = sorted((r.slot, int(r.source[1:]), r.block, r.release_slot, r.due_slot) for r in mixing.picks(frame).collect())
+    assert [(s, j, t) for t, s, j, _, _ in got] == by_heap([r.k for r in frame.orderBy("source").collect()], blocks)
+    done, full = [0] * len(weights), min(b / w for b, w in zip(blocks, shares, strict=True))
+    for n, (t, s, j, a, d) in enumerate(got):
+        assert j == done[s] and a <= t < d
+        done[s] += 1
+        assert abs(shares[s] * (t + 1) - done[s]) < 1 + Fraction(1, 1000)
+        if n % 50 == 0 and t < full:
+            assert all(abs(w * (t + 1) - x) < 1 + Fraction(1, 1000) for w, x in zip(shares, done, strict=True))
 
 
 def test_every_row_has_its_place(spark, monkeypatch):
@@ -50,20 +72,6 @@ def test_given_weights_and_order(spark, monkeypatch):
         assert abs(mixed[:n].count("a") - 0.75 * n) <= 5
 
 
-@pytest.mark.parametrize("weights", [[0.5] + [0.5 / 19] * 19, [0.5] + [0.5 / 99] * 99, [1.0], [3.0, 1.0], [2**0.5, 3**0.5, 5**0.5, 1e-4], [7.0] * 3])
-def test_exact_schedule_stays_within_a_block_of_the_given_weights(weights):
-    shares = [Fraction(w) / sum(map(Fraction, weights)) for w in weights]
-    blocks = [int(7000 * w) + 3 for w in shares]  # seven periods
-    sources, slots = mixing.exact(weights, blocks)
-    assert Counter(sources.tolist()) == {s: n for s, n in enumerate(blocks) if n} and (slots[1:] > slots[:-1]).all()
-    done = [0] * len(weights)
-    for n, (s, t) in enumerate(zip(sources.tolist(), slots.tolist(), strict=True)):
-        done[s] += 1
-        assert abs(shares[s] * (t + 1) - done[s]) < 1 + Fraction(1, 1000)
-        if n % 50 == 0 and t < 7000:
-            assert all(abs(w * (t + 1) - d) < 1 + Fraction(1, 1000) for w, d in zip(shares, done, strict=True))
-
-
 def test_the_mix_keeps_a_target_of_a_half_beside_many_sources(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK", 1)
     docs = [(k, f"t{k}", "en", "a" if k < 1000 else f"s{k % 100:02}") for k in range(2000)]
@@ -78,7 +86,20 @@ def test_the_mix_takes_any_number_of_sources(spark):
     assert sorted(r.doc_id for r in mixing.mix(odd.frame(spark, docs)).collect()) == list(range(2500))
 
 
-def test_empty_table_and_too_many_sources(spark):
+def test_the_schedule_takes_any_number_of_sources(spark):
+    got = mixing.schedule(odd.frame(spark, [(k, "", "", f"s{k % 501}") for k in range(1002)])).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1002)) and all(r.release_slot <= r.slot < r.due_slot for r in got)
+
+
+def test_no_python_on_the_way(spark):
+    plan = mixing.mix(odd.frame(spark))._jdf.queryExecution().executedPlan().toString() + mixing.schedule(odd.frame(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_clashing_columns_stay(spark):
+    frame = odd.frame(spark).withColumnsRenamed({"row": "__row", "slot": "__slot", "node": "__source", "digest": "s"})
+    assert mixing.mix(frame).columns == frame.columns and Counter(mixing.mix(frame).collect()) == Counter(frame.collect())
+
+
+def test_empty_table(spark):
     assert mixing.schedule(odd.frame(spark, [])).count() == 0 and mixing.mix(odd.frame(spark, [])).count() == 0
-    with pytest.raises(ValueError):
-        mixing.schedule(odd.frame(spark, [(k, "", "", f"s{k}") for k in range(501)]))
