@@ -2,13 +2,16 @@
 
 Every version of every text is a blob, named by its SHA-256. The ledger, Parquet in a shared folder, holds the
 blobs scanned under each version of the rules, with what was found. A run scans only the pairs of blob and rule
-version that it lacks, appends them, and joins findings back to all documents that hold the blob.
+version that it lacks, adds them, and joins findings back to all documents that hold the blob. Unless another is
+given, the ledger is LEDGER in the folder of spark.checkpoint.dir and outlives runs: a second run over the same texts scans
+none. Each run adds a folder of its own, which appears when it's whole, so runs at once and lost executors harm none.
 
 The distinct texts meet once, by the blob's name, after each task has dropped its own copies; so a text that
 fills a third of the table arrives once from each task. The join back is a plain equi-join, whose large
 partitions Spark splits.
 
-A null text is the empty text. Repeated rows give repeated results; null ids stay null; empty tables give no rows.
+A null text is the empty text. Repeated rows give repeated results; null ids stay null; empty tables give no rows. Very
+long texts are scanned whole, and no pattern has a longest match. Other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_or_not, stored
+from .common import own_names, shared_dir, small_or_not, stored
 
 
 @dataclass(frozen=True)
@@ -51,16 +54,20 @@ ADDED = (
     Rule("pay", r"\b[rs]k_(?:live|test)_[A-Za-z0-9]{16,}", needs=("k_live_", "k_test_")),
     Rule("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", needs=("eyj",)),
     Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s:,-]*?-----END (?:[A-Z]+ )*PRIVATE KEY-----)?", needs=("private key-----",)),
-    Rule("login", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:([^\s/:@]{3,64})@[^\s/@]+", 1, needs=("://",)),
+    Rule("login", r"(?<=[a-z0-9+.-])://[^\s/:@]+:([^\s/:@]{3,})@[^\s/@]+", 1, needs=("://",)),
 )
 RULES = BASE + ADDED
 
+#: Where the ledger is in the folder that executors share, and the version of how rules are applied.
+LEDGER = "readloom/secret-ledger"
+FINDER = 2
+
 SPANS = "array<struct<kind:string,start:long,end:long,secret_start:long,secret_end:long>>"
 
 
 def version(rules: tuple[Rule, ...]) -> str:
-    """Any change of the rules is another version."""
-    return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
+    """Any change of the rules, or of how they are applied, is another version."""
+    return hashlib.sha256(repr((FINDER, rules)).encode()).hexdigest()[:16]
 
 
 def finder(rules: tuple[Rule, ...]):
@@ -95,24 +102,36 @@ class Ledger:
     """Blobs by rule version, at a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or f"{shared_dir(spark)}/readloom/ledger-{uuid.uuid4().hex}"
+        self.spark, self.path = spark, path or f"{shared_dir(spark)}/{LEDGER}"
+
+    def folder(self, path: str):
+        """A Hadoop file system and path."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
-    def entries(self, rules: tuple[Rule, ...]) -> DataFrame | None:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/rules={version(rules)}")
-        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
-            return None
-        return self.spark.read.schema(f"blob binary, spans {SPANS}").parquet(where.toString())
+    def entries(self, rules: tuple[Rule, ...]) -> DataFrame:
+        fs, at = self.folder(f"{self.path}/rules={version(rules)}")
+        kind = f"blob binary, spans {SPANS}"
+        if not fs.exists(at):
+            return self.spark.createDataFrame([], kind)
+        return self.spark.read.schema(kind).option("recursiveFileLookup", "true").parquet(at.toString())
 
     def update(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> int:
         """Scans the texts of docs that were never scanned under these rules. Returns how many were."""
         texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).select(F.unhex(F.sha2("text", 256)).alias("blob"), "text")
-        seen = self.entries(rules)
-        if seen is not None:
-            texts = texts.join(small_or_not(seen.select("blob")), "blob", "left_anti")
-        fresh = texts.groupBy("blob").agg(F.first("text").alias("text"))
-        before = seen.count() if seen is not None else 0
-        scan(fresh, rules).write.mode("append").parquet(f"{self.path}/rules={version(rules)}")
-        return self.entries(rules).count() - before
+        texts = texts.join(small_or_not(self.entries(rules).select("blob")), "blob", "left_anti")
+        run = uuid.uuid4().hex
+        made, whole = (f"{self.path}/{at}" for at in (f"begun/{run}", f"rules={version(rules)}/run={run}"))
+        scan(texts.groupBy("blob").agg(F.first("text").alias("text")), rules).write.parquet(made)
+        fs, at = self.folder(made)
+        if not (n := self.spark.read.schema("blob binary").parquet(made).count()):
+            fs.delete(at, True)
+            return 0
+        to = self.folder(whole)[1]
+        fs.mkdirs(to.getParent())
+        if not fs.rename(at, to):
+            raise OSError(f"{made} can't become {whole}")
+        return n
 
     def found(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """blob and spans, of the blobs that have any. A blob that two runs scanned at once counts once."""
@@ -134,15 +153,18 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: Ledger | No
     """
     ledger = ledger or Ledger(docs.sparkSession)
     ledger.update(docs, rules)
-    found = stored(ledger.found(rules).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")))
-    cut = F.expr("""aggregate(array_sort(transform(__spans, x -> struct(x.secret_start as a, x.secret_end as b, x.kind as kind))),
+    own = own_names(docs, "blob", "spans", "new")
+    paths = docs.select(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("blob")).distinct()
+    found = stored(ledger.found(rules).join(paths, "blob", "left_semi").select(F.col("blob").alias(own["blob"]), F.col("spans").alias(own["spans"])))
+    cut = F.expr(f"""aggregate(array_sort(transform({own["spans"]}, x -> struct(x.secret_start as a, x.secret_end as b, x.kind as kind))),
         struct(cast('' as string) as done, cast(0 as bigint) as at),
         (s, x) -> if(x.b <= s.at, s, struct(concat(s.done, if(x.a >= s.at, concat(substring(text, cast(s.at + 1 as int), cast(x.a - s.at as int)), '[', x.kind, ']'), '')) as done, x.b as at)),
         s -> concat(s.done, substring(text, cast(s.at + 1 as int))))""")
-    out = docs.withColumn("__blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).join(small_or_not(found), "__blob", "left")
-    out = out.withColumn("__new", F.when(F.col("__spans").isNotNull(), cut).otherwise(F.col("text")))
+    blob, spans, new = (F.col(own[n]) for n in ("blob", "spans", "new"))
+    out = docs.withColumn(own["blob"], F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).join(small_or_not(found), own["blob"], "left")
+    out = out.withColumn(own["new"], F.when(spans.isNotNull(), cut).otherwise(F.col("text")))
     kinds = dict(docs.dtypes)
-    return out.select(*[F.col("__new").alias("text") if c == "text" else F.when(F.col("__spans").isNotNull(), F.length("__new")).otherwise(F.col(c)).cast(kinds[c]).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return out.select(*[new.alias("text") if c == "text" else F.when(spans.isNotNull(), F.length(new)).otherwise(F.col(c)).cast(kinds[c]).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -44,8 +44,8 @@ def test_each_added_kind():
     assert find("plain words and a number 123456") == []
 
 
-def test_ledger_scans_only_what_it_lacks(spark):
-    ledger = secrets.Ledger(spark)
+def test_ledger_scans_only_what_it_lacks(spark, tmp_path):
+    ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger")
     docs = corpus()
     texts = {t or "" for _, t, _, _ in docs}
     assert ledger.update(odd.frame(spark, docs[:50])) == len({t or "" for _, t, _, _ in docs[:50]})
@@ -57,9 +57,33 @@ def test_ledger_scans_only_what_it_lacks(spark):
     assert one == two
 
 
+def test_the_second_run_of_the_query_scans_nothing(spark, tmp_path, monkeypatch):
+    from readloom.llm import queries
+
+    monkeypatch.setattr(secrets, "LEDGER", f"ledger-{random.getrandbits(64)}")
+    scanned, scan = [], secrets.scan
+    monkeypatch.setattr(secrets, "scan", lambda blobs, rules: scanned.append(blobs.count()) or scan(blobs, rules))
+    docs = corpus()
+    odd.frame(spark, docs[:-20]).write.parquet(f"{tmp_path}/one/documents.parquet")
+    odd.frame(spark, docs).write.parquet(f"{tmp_path}/two/documents.parquet")
+    first, again, more = (sorted(map(str, queries.op5_secret_scans(spark, f"{tmp_path}/{at}").collect())) for at in ("one", "one", "two"))
+    texts = [{t or "" for _, t, _, _ in d} for d in (docs[:-20], docs)]
+    assert first == again and scanned == [len(texts[0]), 0, len(texts[1] - texts[0])]
+    fresh = secrets.find_secrets(odd.frame(spark, docs), ledger=secrets.Ledger(spark, f"file://{tmp_path}/fresh"))
+    assert more == sorted(map(str, secrets.digests(fresh).collect()))
+
+
+def test_long_passwords_in_urls():
+    find = secrets.finder(secrets.RULES)
+    for n in (3, 64, 65, 5000):
+        text = f"see mongodb+srv://{'u' * n}:{'p' * n}@host/x"
+        assert [text[c:d] for kind, _, _, c, d in find(text) if kind == "login"] == ["p" * n]
+    assert not find("a." * 100_000 + "://" + "z" * 100_000)
+
+
 def test_redaction(spark):
     docs = corpus()
-    before = odd.frame(spark, docs)
+    before = odd.frame(spark, docs).withColumnsRenamed({"node": "__blob", "slot": "__spans", "digest": "__new"})
     after = secrets.redact(before)
     assert after.columns == before.columns and after.count() == before.count()
     find = secrets.finder(secrets.RULES)
