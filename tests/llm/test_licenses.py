@@ -6,7 +6,7 @@ import odd
 from readloom.llm import licenses
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-PIECES = ["MIT License", "mit-license", "mit  license mit license", "Licensed under the Apache License, Version 2.0.", "GNU General Public License", "gnu general public", "CC BY", "CC-BY-NC 4.0", "Licensed under CC BY-SA 4.0", "SPDX-License-Identifier: GPL-3.0-or-later", "admit license", "mit licenses", "émit license", "all rights reserved", "foo bar", "cc", "by", "cc by cc by"]
+PIECES = ["MIT License", "mit-license", "mit  license mit license", "Licensed under the Apache License, Version 2.0.", "GNU General Public License", "gnu general public", "CC BY", "CC-BY-NC 4.0", "Licensed under CC BY-SA 4.0", "SPDX-License-Identifier: GPL-3.0-or-later", "admit license", "mit licenses", "émit license", "all rights reserved", "foo bar", "cc", "by", "cc by cc by", "GPL v2 with the Classpath Exception", "this is not licensed under the GNU General Public License", "Dual licensed under the MIT and GPL licenses.", "licensed under MIT or Apache-2.0", "Permission is hereby granted, free of charge, to any person obtaining a copy"]
 
 
 def words(text):
@@ -56,6 +56,15 @@ def test_rules_have_their_keywords():
     assert [r.label for r in licenses.RULES[:4]] == ["gpl", "apache", "cc-by", "mit"]
 
 
+def test_written_rules_have_their_keywords_and_denials_outrank_names(spark):
+    for label, pattern, keyword, priority in licenses.WRITTEN:
+        assert f" {keyword}" in f" {licenses.literal(pattern)}" or re.search(re.escape(keyword), re.sub(r"\(\?:|\)\??|\?", "", pattern)), pattern
+        assert 1 <= priority <= licenses.TOP
+    texts = ["This is not licensed under the GNU General Public License.", "GPL with the Classpath Exception", "released under the same terms as Perl itself"]
+    got = {r.doc_id: r.labels for r in licenses.scan(odd.frame(spark, [(k, t, None, None) for k, t in enumerate(texts)])).collect()}
+    assert got == {0: "gpl,no-license", 1: "gpl-with-classpath-exception", 2: "gpl-or-artistic"}  # the contract's gpl stays
+
+
 def test_no_python_and_one_narrow_shuffle(spark):
     plan = licenses.scan(odd.frame(spark, []))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and plan.count("Exchange") == 1
