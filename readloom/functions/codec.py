@@ -272,6 +272,12 @@ def frame_limit(memory: int) -> int:
     return min(512 << 20, (memory - RESERVE) // 4)
 
 
+def compress_peak(reads: list[Read], raw: tuple[bytes, ...]) -> int:
+    """The memory that encoding takes: reads, their texts with an end each, raw streams and the most that these become."""
+    text = sum([len(i) + len(c) + 2 * len(q) + 4 for i, c, _, q in reads])
+    return RESERVE + 2 * len(reads) * READ_SIZE + text + sum(len(x) + bound(len(x)) for x in raw)
+
+
 def encode_frame(reads: list[Read], *, paired: bool = False, level: int = 1, memory: int = DEFAULT_MEMORY) -> Frame:
     if not reads or paired and len(reads) % 2 or len(reads) >= 1 << 32:
         raise EngineError(USAGE, f"a frame can't have {len(reads)} records")
@@ -281,8 +287,7 @@ def encode_frame(reads: list[Read], *, paired: bool = False, level: int = 1, mem
     raw = raw_streams(reads)
     if max(map(len, raw)) > frame_limit(memory):
         raise EngineError(USAGE, "a stream of a frame is larger than the memory limit allows")
-    text = sum([len(i) + len(c) + 2 * len(q) + 4 for i, c, _, q in reads])
-    if RESERVE + 2 * len(reads) * READ_SIZE + 4 * text + sum(len(x) + bound(len(x)) for x in raw) > memory:
+    if compress_peak(reads, raw) > memory:
         raise EngineError(USAGE, "encoding a frame would need more than the memory limit")
     try:
         streams = tuple(zstandard.ZstdCompressor(level=k).compress(x) for x, k in zip(raw, (1, 1, level), strict=True))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions.codec import READ_SIZE, RESERVE
-from readloom.functions.packing import exception_deltas, packed_size, varint_size
+from readloom.functions.packing import exception_bytes, packed_size, varint_size
 from readloom.functions.records import canonical_bytes, has_exceptions
 
 
@@ -17,8 +17,7 @@ def length(column: str) -> Column:
 def stream_bytes() -> tuple[Column, Column, Column]:
     """Bytes of a read in the raw streams of ids, sequences and qualities."""
     n, i, c = length("sequence"), length("id"), length("comment")
-    deltas = exception_deltas()
-    odd = F.when(has_exceptions(), varint_size(F.size(deltas).cast("long")) + F.aggregate(deltas, F.lit(0).cast("long"), lambda a, x: a + varint_size(x["delta"]) + 1)).otherwise(1)
+    odd = F.when(has_exceptions(), exception_bytes()).otherwise(1)
     return varint_size(i) + i + varint_size(c) + c, varint_size(n) + packed_size(n) + odd, varint_size(length("quality")) + length("quality")
 
 

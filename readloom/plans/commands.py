@@ -1,24 +1,25 @@
 """compress, decompress, verify: plans over the sources and operators, and the ordered writing of one file at their end.
 
-Tasks do parsing, encoding and decoding, and leave their frames or text as Parquet in a folder beside the output;
-the driver only streams these in order into the staged output, which takes its name when all is well. A failure
-leaves neither. The frames table is a fine sink by itself: see frames_of().
+Tasks do parsing, encoding and decoding, and leave frames as Parquet, or text as text parts, in a folder beside the
+output; the driver only strings these together into the staged output, which takes its name when all is well. A failure
+leaves neither. For outputs of a size that no single file should have, frames_of() and text_parts() are sinks without
+a driver's part.
 """
 
 from __future__ import annotations
 
 import logging
 import os
-import shutil
 import sys
 import tempfile
 import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.errors import FORMAT, IO, USAGE, EngineError, from_exception
@@ -28,6 +29,7 @@ from readloom.functions.records import PROFILES
 from readloom.operators import framing
 from readloom.operators.profile import profile as profiled
 from readloom.operators.profile import sample_prefix
+from readloom.sources import store
 from readloom.sources.archive import ArchiveSource, Directory, directory, plain
 from readloom.sources.container import container, spooled
 from readloom.sources.fastq import FastqSource
@@ -109,8 +111,8 @@ def engine_errors():
 
 
 @contextmanager
-def published(spark: SparkSession, output: str, force: bool) -> Iterator[tuple[Callable[[bytes], None], str]]:
-    """A function that appends to a staged output, and a folder, beside it, for what tasks leave.
+def published(spark: SparkSession, output: str, force: bool) -> Iterator[tuple[BinaryIO, str]]:
+    """A staged output to append to, and a folder, beside it, for what tasks leave.
 
     Standard output, -, isn't staged; its folder is in spark.checkpoint.dir, a local one only where that is unset.
     """
@@ -118,25 +120,24 @@ def published(spark: SparkSession, output: str, force: bool) -> Iterator[tuple[C
         at = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
         folder = f"{at}/readloom-{time.time_ns()}-{os.getpid()}"
         try:
-            yield sys.stdout.buffer.write, folder
+            yield sys.stdout.buffer, folder
             sys.stdout.buffer.flush()
         finally:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         return
-    if os.path.exists(output) and not force:
+    if store.exists(output) and not force:
         raise EngineError(IO, f"{output} exists")
     staged = f"{output}.tmp.{time.time_ns()}.{os.getpid()}"
     try:
-        with open(staged, "wb") as f:
-            yield f.write, f"file://{os.path.abspath(staged)}.parts"
-        os.replace(staged, output)
+        with store.created(staged) as f:
+            yield f, store.address(f"{staged}.parts")
+        store.moved(staged, output)
     except OSError as e:
-        raise EngineError(IO, f"{output}: {e.strerror}") from e
+        raise EngineError(IO, f"{output}: {e.strerror or e}") from e
     finally:
-        shutil.rmtree(f"{staged}.parts", ignore_errors=True)
-        if os.path.exists(staged):
-            os.unlink(staged)
+        store.removed(f"{staged}.parts")
+        store.removed(staged)
 
 
 @contextmanager
@@ -188,7 +189,7 @@ def compress(spark: SparkSession, q: CompressRequest) -> OperationStats:
         raise EngineError(USAGE, "an option is out of range")
     if q.output != "-" and q.output in (q.input, q.mate):
         raise EngineError(USAGE, "an input is the output")
-    if q.output != "-" and os.path.exists(q.output) and not q.force:
+    if q.output != "-" and store.exists(q.output) and not q.force:
         raise EngineError(IO, f"{q.output} exists")
     room = q.memory - codec.RESERVE
     began = time.time()
@@ -196,7 +197,8 @@ def compress(spark: SparkSession, q: CompressRequest) -> OperationStats:
         size = sum(container(p)[1] for p in (path, mate) if p)
         name = detect(spark, path, mate, min(512 * MIB, room // 8)) if q.profile == "auto" else q.profile
         sampled = time.time()
-        with published(spark, q.output, q.force) as (write, folder):
+        with published(spark, q.output, q.force) as (out_file, folder):
+            write = out_file.write
             frames_of(spark, path, mate, q.workers, target=min(q.frame_bytes, room // 8), level=q.level, memory=q.memory).write.parquet(folder)
             encoded = time.time()
             code = next(k for k, n in PROFILES.items() if n == name)
@@ -224,7 +226,7 @@ def archive(path: str, memory: int) -> Iterator[tuple[str, Directory]]:
             yield at, directory(at, memory)
         finally:
             if at != given:
-                os.unlink(at)
+                store.removed(at)
 
 
 def decoded(spark: SparkSession, path: str, memory: int, run_bytes: int = 4 * MIB) -> DataFrame:
@@ -243,28 +245,59 @@ def decoded(spark: SparkSession, path: str, memory: int, run_bytes: int = 4 * MI
     return frames.mapInArrow(run, "frame_id long, records long, bases long, text binary")
 
 
+def text_parts(spark: SparkSession, path: str, memory: int, folder: str) -> tuple[int, int, int]:
+    """Leaves the text of all frames as text parts whose names sort as their frames do, at any store of Spark's; records, bases and bytes."""
+    seen = Observation()
+    text = decoded(spark, path, memory).observe(seen, F.coalesce(F.sum("records"), F.lit(0)).alias("records"), F.coalesce(F.sum("bases"), F.lit(0)).alias("bases"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("size"))
+    # a text's own line end is the row's
+    text.select(F.expr("substring(text, 1, length(text) - 1)").cast("string").alias("text")).write.option("lineSep", "\n").text(folder)
+    got = seen.get
+    return got["records"], got["bases"], got["size"]
+
+
 def decompress(spark: SparkSession, q: DecompressRequest, sink: Callable[[bytes], None] | None = None) -> OperationStats:
     """sink: gets each frame's text in order, in place of the output; an exception of its ends the run."""
     q.check()
     if q.output != "-" and q.output == q.input:
         raise EngineError(USAGE, "the input is the output")
+    began = time.time()
     with engine_errors(), archive(q.input, q.memory) as (path, d):
-        with published(spark, q.output, q.force) as (write, folder):
-            decoded(spark, path, q.memory).write.parquet(folder)
+        walked = time.time()
+        if sink:
             records = bases = out = 0
-            for r in spark.read.schema("frame_id long, records long, bases long, text binary").parquet(folder).orderBy("frame_id").toLocalIterator():
-                (sink or write)(bytes(r.text))
+            for r in decoded(spark, path, q.memory).toLocalIterator():  # partitions are runs of frames, in order
+                sink(bytes(r.text))
                 records, bases, out = records + r.records, bases + r.bases, out + len(r.text)
             d.reconcile(records, bases)
-    return OperationStats(PROFILES[d.profile], d.paired, len(d.frames), records, bases, d.size, out)
+            decoding = writing = time.time()
+        else:
+            with published(spark, q.output, q.force) as (file, folder):
+                records, bases, out = text_parts(spark, path, q.memory, folder)
+                d.reconcile(records, bases)
+                decoding = time.time()
+                for part in parts_of(spark, folder):
+                    store.appended(file, part)
+                writing = time.time()
+    seconds = {"walk": walked - began, "decode": decoding - walked, "write": writing - decoding}
+    log.info("walk %.2f s, decode %.2f s, write %.2f s", *seconds.values())
+    return OperationStats(PROFILES[d.profile], d.paired, len(d.frames), records, bases, d.size, out, seconds)
+
+
+def parts_of(spark: SparkSession, folder: str) -> list[str]:
+    """The text parts that tasks left, in order; as the driver opens them."""
+    return store.parts(folder.removeprefix("file://") if folder.startswith("file://") else folder)
 
 
 def verify(spark: SparkSession, q: VerifyRequest) -> OperationStats:
     """Decodes all, as decompress does, and writes nothing."""
     q.check()
+    began = time.time()
     with engine_errors(), archive(q.input, q.memory) as (path, d):
+        walked = time.time()
         got = decoded(spark, path, q.memory).agg(F.coalesce(F.sum("records"), F.lit(0)).alias("records"), F.coalesce(F.sum("bases"), F.lit(0)).alias("bases"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("size"), F.count("*").alias("frames")).first()
         if got.frames != len(d.frames):
             raise EngineError(FORMAT, "frames are missing")
         d.reconcile(got.records, got.bases)
-    return OperationStats(PROFILES[d.profile], d.paired, len(d.frames), got.records, got.bases, d.size, got["size"])
+        seconds = {"walk": walked - began, "decode": time.time() - walked}
+    log.info("walk %.2f s, decode %.2f s", *seconds.values())
+    return OperationStats(PROFILES[d.profile], d.paired, len(d.frames), got.records, got.bases, d.size, got["size"], seconds)

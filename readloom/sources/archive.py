@@ -9,8 +9,7 @@ those to read of ids,sequences,qualities; the others are null).
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from readloom.errors import CHECKSUM, FORMAT, EngineError
 from readloom.functions import codec
 from readloom.functions.hashing import rolled
+from readloom.sources import store
 from readloom.sources.container import container, opened
 
 FRAMES = "frame_id bigint, record_count bigint, total_bases bigint, raw_ids_size bigint, ids binary, raw_sequences_size bigint, sequences binary, raw_qualities_size bigint, qualities binary, checksum bigint"
@@ -58,11 +58,11 @@ class Directory:
 
 
 def plain(path: str, folder: str | None = None) -> str:
-    """path, or what a gzipped archive at path inflates to."""
+    """path, or what a gzipped archive at path inflates to: beside it, as tasks read that too, or in the folder."""
     if container(path)[0] != "gzip":
         return path
-    fd, out = tempfile.mkstemp(dir=folder, suffix=".archive")
-    with opened(path) as f, os.fdopen(fd, "wb") as g:
+    out = f"{folder or path.rpartition('/')[0] or '.'}/{uuid.uuid4().hex}.archive"
+    with opened(path) as f, store.created(out) as g:
         while data := f.read(1 << 20):
             g.write(data)
     return out
@@ -138,7 +138,7 @@ class ArchiveReader(DataSourceReader):
     def read(self, partition: Run) -> Iterator[pa.RecordBatch]:
         if not partition.frames:
             return
-        with open(partition.path, "rb") as f:
+        with store.opened(partition.path) as f:
             for e in partition.frames:
                 streams = payload(f, e)
                 yield self.frame(e, streams) if self.mode == "frames" else self.reads(partition, e, streams)

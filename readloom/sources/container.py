@@ -10,6 +10,7 @@ from typing import BinaryIO
 
 from readloom.errors import IO, EngineError
 from readloom.functions.records import EXTENSIONS
+from readloom.sources import store
 
 #: How containers begin.
 MAGICS = {b"\x1f\x8b": "gzip", b"BZh": "bzip2", bytes.fromhex("fd377a585a00"): "xz", bytes.fromhex("28b52ffd"): "zstd"}
@@ -43,12 +44,9 @@ class Inflated(io.RawIOBase):
 
 def container(path: str) -> tuple[str, int]:
     """The container of a file and its size. Of a file of a single byte the extension tells."""
-    try:
-        size = os.path.getsize(path)
-        with open(path, "rb") as f:
-            head = f.read(8)
-    except OSError as e:
-        raise EngineError(IO, f"{path}: {e.strerror}") from None
+    size = store.size(path)
+    with store.opened(path) as f:
+        head = f.read(8)
     return (by_extension(path) if size == 1 else sniff(head)), size
 
 
@@ -56,7 +54,7 @@ def opened(path: str) -> BinaryIO:
     kind, _ = container(path)
     if kind not in ("none", "gzip"):
         raise EngineError(IO, f"{path}: {kind} is not supported")
-    f = open(path, "rb", buffering=1 << 20)
+    f = store.opened(path)
     return io.BufferedReader(Inflated(f), 1 << 20) if kind == "gzip" else f
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gzip
-import os
 import shutil
 
 from pyspark.sql import DataFrame
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from readloom.errors import IO, EngineError
 from readloom.functions.records import rendered
+from readloom.sources import store
 
 
 def write_parts(reads: DataFrame, folder: str, *order: str) -> None:
@@ -20,18 +20,20 @@ def write_parts(reads: DataFrame, folder: str, *order: str) -> None:
 
 
 def write_file(reads: DataFrame, path: str, *order: str, force: bool = False, compress: bool = False) -> None:
-    """One file on a disk that driver and tasks share. It appears when it's whole."""
-    if os.path.exists(path) and not force:
+    """One file, at a path or an address that driver and tasks share. It appears when it's whole."""
+    if store.exists(path) and not force:
         raise EngineError(IO, f"{path} exists")
     parts = f"{path}.parts"
     try:
-        write_parts(reads, f"file://{os.path.abspath(parts)}", *order)
-        with (gzip.open if compress else open)(f"{path}.tmp", "wb") as out:
-            for name in sorted(x for x in os.listdir(parts) if x.startswith("part-")):
-                with open(f"{parts}/{name}", "rb") as f:
+        write_parts(reads, store.address(parts), *order)
+        with store.created(f"{path}.tmp") as file:
+            out = gzip.GzipFile(fileobj=file, mode="wb") if compress else file
+            for part in store.parts(parts):
+                with store.opened(part) as f:
                     shutil.copyfileobj(f, out, 1 << 20)
-        os.replace(f"{path}.tmp", path)
+            if compress:
+                out.close()
+        store.moved(f"{path}.tmp", path)
     finally:
-        shutil.rmtree(parts, ignore_errors=True)
-        if os.path.exists(f"{path}.tmp"):
-            os.unlink(f"{path}.tmp")
+        store.removed(parts)
+        store.removed(f"{path}.tmp")

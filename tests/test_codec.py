@@ -180,3 +180,16 @@ def test_wire_bytes_of_known_archives():
 
 def test_header_layout():
     assert struct.unpack("<8sHHIBBBBI", codec.global_header(3, True)[:24])[1:6] == (2, 32, 1, 3, 1)
+
+
+def test_a_large_read_fits_where_its_peak_does_and_no_lower():
+    n = 5 << 20
+    read = (b"r", b"", b"ACGT" * (n // 4), b"I" * n)
+    peak = codec.compress_peak([read], codec.raw_streams([read]))
+    assert codec.encode_frame([read], memory=64 << 20).bases == n
+    assert 38 << 20 < peak < 39 << 20
+    many = [(b"r%d" % k, b" c", b"ACGTN" * 30, b"I" * 150) for k in range(40_000)]
+    peak = codec.compress_peak(many, codec.raw_streams(many))
+    codec.encode_frame(many, memory=peak)
+    with pytest.raises(EngineError, match="more than the memory limit"):
+        codec.encode_frame(many, memory=peak - 1)

@@ -1,9 +1,11 @@
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from readloom.functions import hashing
-from readloom.operators import framing, ordering, pairing
+from readloom.functions import codec, hashing, packing
+from readloom.operators import framing, measure, ordering, pairing
 from readloom.queries import reads
 
 SF = "/root/testdata/sf0.001"
@@ -73,3 +75,28 @@ def test_bad_records_end_the_job(spark):
     rows = spark.createDataFrame([(0, "a", "", "AC", "II"), (1, "b", "", "AZ", "II")], COLUMNS)
     with pytest.raises(Exception, match="bad sequence of record b"):
         rows.filter(asserted()).collect()
+
+
+def test_the_encoder_checks_the_peak_that_measures_estimate(spark):
+    rows = [(f"r{k}", " c" if k % 2 else "", "ACGTN"[k % 5 :] + "GATTACAR"[: k % 8] + "A" * (k % 70), "I") for k in range(300)]
+    rows = [(i, c, s, q * len(s)) for i, c, s, q in rows]
+    frame = spark.createDataFrame(rows, "id string, comment string, sequence string, quality string")
+    reads = [tuple(x.encode() for x in r) for r in rows]
+    raw = codec.raw_streams(reads)
+    got = measure.measured(frame).withColumn("peak", measure.compress_peak()).first()
+    assert [got.raw_ids, got.raw_sequences, got.raw_qualities] == list(map(len, raw))
+    assert got.peak == codec.compress_peak(reads, raw)
+
+
+def test_packing_takes_no_longer_for_long_reads(spark):
+    """The same bases as short reads and as long ones; a loop that finds each letter from the start takes 100 times as long."""
+    took = []
+    for n in (100, 20_000):
+        made = f"substr(repeat(translate(md5(cast(id as string)), '0123456789abcdef', 'ACGTACGTACGTNacg'), {n // 32 + 1}), 1, {n})"
+        frame = spark.range(0, 1_000_000 // n, 1, 2).select(F.expr(made).alias("sequence")).cache()
+        work = frame.select(F.length(packing.packed_hex()), F.size(packing.exception_deltas()), packing.exception_bytes())
+        work.write.format("noop").mode("overwrite").save()
+        began = time.time()
+        work.write.format("noop").mode("overwrite").save()
+        took.append(time.time() - began)
+    assert took[1] < 5 * took[0] + 1
