@@ -25,7 +25,7 @@ def xxh64(spark: SparkSession, *columns: Column) -> Column:
 
 
 def chained(*columns: Column) -> Column:
-    """xxh64() by the library, in Arrow batches."""
+    """xxh64() by the library, in Arrow batches: only for sessions of Spark Connect, which have no JVM at hand."""
 
     def run(*columns: pd.Series) -> pd.Series:
         out = []

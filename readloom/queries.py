@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -283,7 +286,16 @@ def q_ordinals(spark, sf_dir):
     return reads(spark, sf_dir).select("k", "ordinal")
 
 
-@query()
+#: One step of the recursion takes a whole frame: the first read at which the sum of costs since the last end reaches the target.
+GREEDY = f"""recursive {READS}, upto as (select ordinal, sum({COST}) over (order by ordinal) as c from reads),
+ends as (
+  select cast(0 as hugeint) as c, cast(0 as bigint) as n
+  union all
+  select min(u.c), e.n + 1 from ends e join upto u on u.c >= e.c + {TARGET} group by e.n
+)"""
+
+
+@query("select ordinal as key, cast(0 as bigint) as chunk, max(n) as frame from upto u join ends e on u.c > e.c group by ordinal", GREEDY)
 def q_frame_greedy(spark, sf_dir):
     return framing.assign(reads(spark, sf_dir), target=TARGET)
 
@@ -397,8 +409,8 @@ def q_bench_median(spark, sf_dir):
 
 @query()
 def q_frame_checksum(spark, sf_dir):
-    b = lambda c: F.encode(c, "ISO-8859-1")
-    return reads(spark, sf_dir).select("k", hashing.xxh64(spark, b("id"), b("sequence"), b("quality")).alias("checksum"))
+    """The hash over the three raw streams of each frame."""
+    return framing.numbered(frames(spark, sf_dir)).select("frame_id", "record_count", "checksum")
 
 
 @query()
@@ -407,6 +419,39 @@ def q_global_checksum(spark, sf_dir):
     return ordered.select(F.size("all").cast("long").alias("frames"), hashing.xxh64(spark, F.col("all")).alias("checksum"))
 
 
+#: Where an archive of one frame is damaged, and the code that the byte's meaning asks for.
+DAMAGED = """select region, cast(place as bigint) as place, damage, code, case code when 3 then 'format error' when 4 then 'checksum error' when 5 then 'unsupported codec' end as name from (
+  select region, place, damage, case
+    when damage = 'cut' then 3
+    when region = 'header' then case when place < 8 then 3 when place = 12 and damage = '1' then 4 when place < 24 then 5 else 4 end
+    when region = 'frame' then case when place < 64 then 3 else 4 end
+    else case when place < 32 then 3 else 4 end end as code
+  from (select 'header' as region, unnest(range(32)) as place union all select 'frame', unnest(range(72)) union all select 'footer', unnest(range(40))), (values ('1'), ('128'), ('cut')) d(damage))"""
+
+
+@query(DAMAGED, "")
+def q_corrupt_bytes(spark, sf_dir):
+    """Each byte of an archive's header, frame header and footer with its lowest or highest bit turned, and the archive cut off before it."""
+    from readloom.functions import codec
+    from readloom.sources.archive import fault
+
+    some = [(b"r%d" % k, b" c", b"ACGTNACGT"[: 5 + k % 4], b"IIIIIIIII"[: 5 + k % 4]) for k in range(8)]
+    f = codec.encode_frame(some)
+    whole = codec.global_header(1, False) + f.header(0) + b"".join(f.streams) + codec.footer(1, f.records, f.bases, hashing.rolled([f.checksum]))
+    begins = {"header": (0, codec.HEADER_SIZE), "frame": (codec.HEADER_SIZE, codec.FRAME_HEADER_SIZE), "footer": (len(whole) - codec.FOOTER_SIZE, codec.FOOTER_SIZE)}
+
+    def run(batches):
+        for batch in batches:
+            codes = []
+            for at, damage in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                codes.append(fault(whole[:at] if damage == "cut" else whole[:at] + bytes([whole[at] ^ int(damage)]) + whole[at + 1 :]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(codes, pa.int32())], names=["region", "place", "damage", "code"])
+
+    rows = [(region, k, damage, at + k) for region, (at, n) in begins.items() for k in range(n) for damage in ("1", "128", "cut")]
+    got = spark.createDataFrame(rows, "region string, place long, damage string, at long").mapInArrow(run, "region string, place long, damage string, code int")
+    return got.withColumn("name", errors.name_of(F.col("code")))
+
+
 @query("select id, comment, sequence, quality from reads")
 def q_roundtrip(spark, sf_dir):
     return framing.decode(frames(spark, sf_dir)).select("id", "comment", "sequence", "quality")
@@ -418,11 +463,20 @@ def q_verify(spark, sf_dir):
     return back.agg(F.count("*").alias("records"), F.sum(R.record_length()).alias("bases"), F.sum(R.canonical_bytes()).alias("logical_bytes"))
 
 
+def made_dir(path: str) -> str:
+    os.makedirs(path, exist_ok=True)
+    return path
+
+
 def fastq_file(spark: SparkSession, sf_dir: str, name: str, compress: bool = False, salts: tuple[str, str] = ("s", "q")) -> str:
     from readloom.sources.sinks import write_file
 
-    at = spark.conf.get("spark.checkpoint.dir", "").removeprefix("file://")
-    path = f"{tempfile.mkdtemp(dir=at if os.path.isdir(at) else None, prefix='readloom-')}/{name}"
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at is None or at.startswith(("file:", "/")):  # a disk that driver and tasks share
+        folder = tempfile.mkdtemp(dir=at and made_dir(re.sub("^file:/+", "/", at)), prefix="readloom-")
+    else:
+        folder = f"{at}/readloom-{uuid.uuid4().hex}"
+    path = f"{folder}/{name}"
     write_file(reads(spark, sf_dir, *salts), path, "ordinal", compress=compress)
     return path
 

@@ -9,6 +9,7 @@ those to read of ids,sequences,qualities; the others are null).
 
 from __future__ import annotations
 
+import io
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -89,6 +90,26 @@ def directory(path: str, memory: int = codec.DEFAULT_MEMORY) -> Directory:
     return Directory(profile, paired, frames, records, bases, checksum, size)
 
 
+def fault(data: bytes, memory: int = codec.DEFAULT_MEMORY) -> int:
+    """The code that reading an archive's bytes through ends with: 0 if nothing is wrong."""
+    f = io.BytesIO(data)
+    try:
+        _, paired = codec.read_header(f)
+        checksums, records, bases = [], 0, 0
+        while (got := codec.read_frame_header(f, len(checksums), paired, memory))[0] >= 0:
+            count, raw, coded, checksum = got
+            reads = codec.decode_frame(codec.Frame(count, 0, raw, tuple(codec.exactly(f, n) for n in coded), checksum))
+            checksums.append(checksum)
+            records, bases = records + len(reads), bases + sum(len(r[2]) for r in reads)
+        if (~got[0], *got[1:3]) != (len(checksums), records, bases):
+            raise EngineError(FORMAT, "the footer's totals differ")
+        if rolled(checksums) != got[3]:
+            raise EngineError(CHECKSUM, "the archive's hash differs")
+    except EngineError as e:
+        return e.code
+    return 0
+
+
 def payload(f, e: Entry) -> tuple[bytes, ...]:
     f.seek(e.at)
     return tuple(codec.exactly(f, n) for n in e.coded)

@@ -100,3 +100,40 @@ def test_packing_takes_no_longer_for_long_reads(spark):
         work.write.format("noop").mode("overwrite").save()
         took.append(time.time() - began)
     assert took[1] < 5 * took[0] + 1
+
+
+def test_encoded_bytes_are_the_archive_less_its_header_and_footer(spark, tmp_path):
+    from readloom.plans import commands
+    from readloom.queries import fastq_file
+
+    path = fastq_file(spark, SF, "a.fastq")
+    for workers in (1, 3):
+        commands.compress(spark, commands.CompressRequest(input=path, output=f"{tmp_path}/{workers}", frame_bytes=1 << 16, workers=workers))
+        got = measure.totals(commands.frames_of(spark, path, workers=workers, target=1 << 16)).first()
+        assert got.encoded_bytes == (tmp_path / str(workers)).stat().st_size - codec.HEADER_SIZE - codec.FOOTER_SIZE and got.frame_count > 3
+
+
+def test_frame_checksums_are_of_the_raw_streams(spark):
+    import xxhash
+    import zstandard
+
+    from readloom.queries import frames
+
+    for f in frames(spark, SF).collect():
+        h = 0
+        for data in (f.ids, f.sequences, f.qualities):
+            h = xxhash.xxh64_intdigest(zstandard.ZstdDecompressor().decompress(data), h)
+        assert h == f.checksum & (1 << 64) - 1
+
+
+def test_inputs_by_address(spark, tmp_path):
+    from readloom.plans import commands
+    from readloom.queries import fastq_file
+
+    path = fastq_file(spark, SF, "a.fastq")
+    out, back = (f"file://{tmp_path}/{x}" for x in ("a", "b"))
+    commands.compress(spark, commands.CompressRequest(input=f"file://{path}", output=out, workers=3))
+    commands.decompress(spark, commands.DecompressRequest(input=out, output=back))
+    with open(path, "rb") as a, open(f"{tmp_path}/b", "rb") as b:
+        assert a.read() == b.read()
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a", "b"]
