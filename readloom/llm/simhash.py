@@ -327,7 +327,8 @@ def classes(docs: DataFrame, method: Method) -> DataFrame:
         joined = components(set_links(stored(sets(docs, stored(joined), method)), method))
     linked = stored(unique.select("name", "node", "least").join(joined, "node"))
     of = linked.select("name", "root").join(linked.groupBy("root").agg(F.min("least").alias("of")), "root").select("name", "of")
-    of = unique.select("name", "least").join(of, "name", "left").select("name", F.coalesce("of", "least").alias("component_id"))
+    # stored, so that the join to rows is one that Spark splits where very many rows have one name
+    of = small_or_not(stored(unique.select("name", "least").join(of, "name", "left").select("name", F.coalesce("of", "least").alias("component_id"))))
     return found.select("doc_id", "text_hash", "fp", "name").join(of, "name").select("doc_id", "text_hash", "fp", "component_id")
 
 
