@@ -6,7 +6,8 @@ it stands, that is, no merge across their border comes before the merges that bu
 from the end of the word then give the ids. Time is linear in the word's length times the matches at a position,
 so one word of a million letters is no special case.
 
-Nulls are empty texts: no ids, an empty decoding. Repeated rows give repeated results; a null doc_id stays null.
+Nulls are empty texts: no ids, an empty decoding. Repeated rows give repeated results; a null doc_id stays null. Empty
+tables give no rows; columns that are not carried play no part, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ as it was. Under the loss mask are just the texts of assistants.
 Rows are ordered by turn, null turns last, ties by role and text. A null role or text is empty; rows without
 conv_id are one conversation; repeated rows are repeated turns; empty tables give no rows. A conversation of more
 than HOT_TURNS rows is first merged in blocks, in tasks of their own, so that what meets at the end is a few runs
-and not its rows; the formatted conversation is one value, so one task must write it.
+and not its rows; the formatted conversation is one value, so one task must write it. Very long texts are escaped
+and joined whole. Columns beside conv_id, turn, role and text play no part, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,6 +8,9 @@ each block of queries searches one shard first, and what it finds there is where
 Shards and blocks are of bounded size, dealt by a hash of the id, and meet pair by pair in tasks of their own; a
 query brings k rows back from a shard at most. Nothing is broadcast or collected.
 
+An empty table gives no rows; a table without queries or candidates none. Columns beside vec_id and embedding play no part,
+whatever their names; very long vectors are split by their widest sides like any others.
+
 Rows whose vector is null or has a null or non-finite component take no part. Shorter vectors are filled up with
 zeros. Rows that repeat an id are candidates each; as queries, equal rows ask once, and no row of the query's own id
 is an answer. Components beyond 2^31 after scaling are compared in unbounded integers; scores beyond a long are its ends.

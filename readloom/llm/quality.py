@@ -8,7 +8,8 @@ What moves are line hashes, never texts: first one row for each distinct (host,
 have been dropped from, then counts by (host, line), summed before they move. A host with a third of all rows is
 spread over its lines. Verdicts belong to (host, text), so repeated rows and null or repeated ids get the same one.
 
-A null text has no words and fails; a null source is the host ''. Rows are never dropped here but by kept.
+A null text has no words and fails; a null source is the host ''. Rows are never dropped here but by kept. Empty tables
+give no rows; a very long text is one row, its lines an array of hashes. Other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, digest, small_or_not, stored
+from .common import SPACE, ascii_lower, digest, own_names, small_or_not, stored
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -134,14 +135,15 @@ def clean(docs: DataFrame, share: float = LINE_SHARE, least: int = LINE_DOCUMENT
     Only verdicts that change a document are joined, broadcast if a count proves them few; else texts move once.
     """
     found = stored(features(docs))
-    changed = stored(verdicts(found, share, least, most).filter(~F.col("kept") | F.col("removed").isNotNull()).select(F.col("host").alias("__host"), F.col("digest").alias("__digest"), F.col("kept").alias("__kept"), F.col("removed").alias("__removed")))
-    out = docs.withColumns({"__host": F.coalesce("source", F.lit("")), "__digest": digest(F.col("text"))}).join(small_or_not(changed), ["__host", "__digest"], "left")
-    out = out.filter(F.coalesce("__kept", F.lit(True)))
+    own = own_names(docs, "host", "digest", "kept", "removed", "new")
+    changed = stored(verdicts(found, share, least, most).filter(~F.col("kept") | F.col("removed").isNotNull()).select(F.col("host").alias(own["host"]), F.col("digest").alias(own["digest"]), F.col("kept").alias(own["kept"]), F.col("removed").alias(own["removed"])))
+    out = docs.withColumns({own["host"]: F.coalesce("source", F.lit("")), own["digest"]: digest(F.col("text"))}).join(small_or_not(changed), [own["host"], own["digest"]], "left")
+    out = out.filter(F.coalesce(own["kept"], F.lit(True)))
     normal = lambda x: F.trim(F.regexp_replace(ascii_lower(x), r"[\x20\x09-\x0D]+", " "))
-    lines = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("__removed", F.xxhash64(normal(x))))
-    out = out.withColumn("__new", F.when(F.col("__removed").isNotNull(), F.array_join(lines, "\n")).otherwise(F.col("text")))
+    lines = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(own["removed"], F.xxhash64(normal(x))))
+    out = out.withColumn(own["new"], F.when(F.col(own["removed"]).isNotNull(), F.array_join(lines, "\n")).otherwise(F.col("text")))
     kinds = dict(docs.dtypes)
-    return out.select(*[F.col("__new").alias("text") if c == "text" else F.when(F.col("__removed").isNotNull(), F.length("__new")).otherwise(F.col(c)).cast(kinds[c]).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return out.select(*[F.col(own["new"]).alias("text") if c == "text" else F.when(F.col(own["removed"]).isNotNull(), F.length(own["new"])).otherwise(F.col(c)).cast(kinds[c]).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 _WORD = r"[^\x20\x09-\x0D]"

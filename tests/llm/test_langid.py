@@ -100,3 +100,45 @@ def test_runs_without_blanks_are_judged_to_their_end(spark):
     assert labeller.spans(whole)[-1][1:] == (298, "wu")
     for text in ("straße été", "a" * 65, "日本語テキスト", "x²½y", "\U0001d400bc"):
         assert "".join(langid.cut(langid.WORD.findall(text))) == "".join(langid.WORD.findall(text))
+
+
+def plain_buckets(word):
+    """Of one word, letter by letter in whole numbers, what grams() hashes in bulk."""
+    c, one = [ord(x) for x in f"^{word}$"], (1 << 64) - 1
+    k1, k2, k3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+    two = [(a * k1 & one) ^ (b * k2 & one) for a, b in zip(c, c[1:], strict=False)]
+    three = [(t * k2 & one) ^ (x * k3 & one) for t, x in zip(two, c[2:], strict=False)]
+    spread = [(x + i * k3) * k1 & one for i, x in enumerate(c)]
+    whole = sum(x ^ x >> 29 for x in spread) & one
+    return [(h * k2 & one) >> 64 - langid.BITS for h in [x * k3 & one for x in c] + [t * k3 & one for t in two] + three + [whole]]
+
+
+def test_scores_and_predictions_against_brute_force(spark, docs):
+    """Counts, probabilities, scripts, scores, the best of all paths and its share of letters, by hand."""
+    taught = [(t, lang) for i, t, lang, _ in docs if lang and crc32(str(i).encode()) % 4 != 2]
+    languages = sorted({lang for _, lang in taught})
+    counts, scripts = ({lang: {} for lang in languages} for _ in range(2))
+    for t, lang in taught:
+        for w in langid.cut(langid.WORD.findall(t.lower())):
+            for b in plain_buckets(w):
+                counts[lang][b] = counts[lang].get(b, 0) + 1
+            scripts[lang][langid.script(w[0])] = scripts[lang].get(langid.script(w[0]), 0) + len(w)
+    total = {lang: sum(counts[lang].values()) + langid.BUCKETS / 2 for lang in languages}
+    uses = {lang: {s for s, n in scripts[lang].items() if n >= langid.SCRIPT_SHARE * sum(scripts[lang].values())} for lang in languages}
+
+    def scores(w):
+        buckets = plain_buckets(w)
+        raw = [langid.WEIGHT * sum(np.log((counts[lang].get(b, 0) + 0.5) / total[lang]) for b in buckets) / len(buckets) for lang in languages]
+        fit = [langid.script(w[0]) in uses[lang] for lang in languages]
+        top = max((x for x, f in zip(raw, fit, strict=True) if f), default=0)
+        return [x - top if f else -1e3 for x, f in zip(raw, fit, strict=True)] if any(fit) else [0.0] * len(languages)
+
+    rnd = random.Random(4)
+    texts = [" ".join(text(rnd, rnd.choice(sorted(WORDS)), rnd.randint(1, 3)) for _ in range(2)) for _ in range(40)]
+    got = langid.predict(odd.frame(spark, [(k, t, None, None) for k, t in enumerate(texts)]), langid.fit(odd.frame(spark, docs))).orderBy("doc_id").collect()
+    for t, r in zip(texts, got, strict=True):
+        words = langid.cut(langid.WORD.findall(t.lower()))
+        s = np.array([scores(w) for w in words])
+        best = max(path_score(s, p, langid.PENALTY) for p in product(range(len(languages)), repeat=len(words)))
+        shares = [{lang: sum(len(w) for w, k in zip(words, p, strict=True) if languages[k] == lang) / sum(map(len, words)) for lang in languages} for p in product(range(len(languages)), repeat=len(words)) if path_score(s, p, langid.PENALTY) >= best - 1e-9]
+        assert any(x[r.lang_pred] == max(x.values()) == pytest.approx(r.score) for x in shares)

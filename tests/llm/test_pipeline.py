@@ -80,3 +80,11 @@ def test_odd_and_empty_documents(spark, tmp_path):
         odd.frame(spark, docs).write.parquet(f"{tmp_path}/{name}/documents.parquet")
         out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
         assert bool(out) == bool(docs)
+
+
+def test_columns_of_any_name_stay_through_all_stages_but_the_last(spark):
+    names = {"kept": "__kept", "row": "__host", "blob": "__blob", "node": "__new", "slot": "__rank", "removed": "__removed", "digest": "__digest"}
+    docs = odd.frame(spark, corpus() + odd.documents()[-8:]).withColumnsRenamed(names)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.count() > 0
