@@ -1,4 +1,10 @@
-"""Documents to token counts in five stages, each an operator of readloom.llm over all that the stage before it kept."""
+"""Documents to token counts in five stages, each an operator of readloom.llm over all that the stage before it kept.
+
+A null text is empty and goes with the first stage, as a text without words does; a null source is the source ''; a row
+without an id goes if a near copy of it has one, else it stays to the end. Repeated rows stay or go together. Very long texts
+are worked on whole in every stage. Tables without rows pass through all of them. Further columns of documents, whatever their
+names, are kept up to the last stage, which returns the columns of its docstring.
+"""
 
 from __future__ import annotations
 
