@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import own_names, shared_dir, small_or_not, stored
@@ -138,12 +138,21 @@ class Ledger:
         return self.entries(rules).filter(F.size("spans") > 0).dropDuplicates(["blob"])
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: Ledger | None = None) -> DataFrame:
-    """doc_id, spans for each row of docs."""
+def named() -> Column:
+    return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+
+
+def found_in(docs: DataFrame, rules: tuple[Rule, ...], ledger: Ledger | None) -> DataFrame:
+    """blob, spans of those blobs of docs that have any, each once, after the ledger has been brought up to date. Stored, so that the join to rows is one that Spark splits."""
     ledger = ledger or Ledger(docs.sparkSession)
     ledger.update(docs, rules)
-    paths = docs.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("blob"))
-    return paths.join(ledger.found(rules), "blob", "left").select("doc_id", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")).alias("spans"))
+    return stored(ledger.found(rules).join(docs.select(named().alias("blob")).distinct(), "blob", "left_semi"))
+
+
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: Ledger | None = None) -> DataFrame:
+    """doc_id, spans for each row of docs."""
+    found = small_or_not(found_in(docs, rules, ledger))
+    return docs.select("doc_id", named().alias("blob")).join(found, "blob", "left").select("doc_id", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")).alias("spans"))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: Ledger | None = None) -> DataFrame:
@@ -151,17 +160,14 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: Ledger | No
 
     The texts move only if more blobs hold secrets than may be broadcast.
     """
-    ledger = ledger or Ledger(docs.sparkSession)
-    ledger.update(docs, rules)
     own = own_names(docs, "blob", "spans", "new")
-    paths = docs.select(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("blob")).distinct()
-    found = stored(ledger.found(rules).join(paths, "blob", "left_semi").select(F.col("blob").alias(own["blob"]), F.col("spans").alias(own["spans"])))
+    found = found_in(docs, rules, ledger).select(F.col("blob").alias(own["blob"]), F.col("spans").alias(own["spans"]))
     cut = F.expr(f"""aggregate(array_sort(transform({own["spans"]}, x -> struct(x.secret_start as a, x.secret_end as b, x.kind as kind))),
         struct(cast('' as string) as done, cast(0 as bigint) as at),
         (s, x) -> if(x.b <= s.at, s, struct(concat(s.done, if(x.a >= s.at, concat(substring(text, cast(s.at + 1 as int), cast(x.a - s.at as int)), '[', x.kind, ']'), '')) as done, x.b as at)),
         s -> concat(s.done, substring(text, cast(s.at + 1 as int))))""")
     blob, spans, new = (F.col(own[n]) for n in ("blob", "spans", "new"))
-    out = docs.withColumn(own["blob"], F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).join(small_or_not(found), own["blob"], "left")
+    out = docs.withColumn(own["blob"], named()).join(small_or_not(found), own["blob"], "left")
     out = out.withColumn(own["new"], F.when(spans.isNotNull(), cut).otherwise(F.col("text")))
     kinds = dict(docs.dtypes)
     return out.select(*[new.alias("text") if c == "text" else F.when(spans.isNotNull(), F.length(new)).otherwise(F.col(c)).cast(kinds[c]).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
