@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 from typing import BinaryIO
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ from readloom.operators import framing
 from readloom.operators.profile import profile as profiled
 from readloom.operators.profile import sample_prefix
 from readloom.sources import store
-from readloom.sources.archive import ArchiveSource, Directory, directory, plain
+from readloom.sources.archive import STREAMS, ArchiveSource, Directory, directory, plain
 from readloom.sources.container import container, spooled
 from readloom.sources.fastq import FastqSource
 
@@ -181,6 +182,16 @@ def frames_of(spark: SparkSession, path: str, mate: str | None = None, workers:
     return (r.option("mate", mate) if mate else r).load()
 
 
+def frames_in(parts: list[str]) -> Iterator[codec.Frame]:
+    """The frames of Parquet parts that were written a chunk each, in order; a frame in memory at a time."""
+    for part in parts:
+        with store.opened(part) as f:
+            for batch in pq.ParquetFile(f).iter_batches(1):
+                r = {name: column[0] for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+                raw = tuple(r[f"raw_{x}_size"].as_py() for x in STREAMS)
+                yield codec.Frame(r["record_count"].as_py(), r["total_bases"].as_py(), raw, tuple(r[x].as_buffer() for x in STREAMS), r["checksum"].as_py() & (1 << 64) - 1)
+
+
 def compress(spark: SparkSession, q: CompressRequest) -> OperationStats:
     q.check()
     if q.profile not in (*PROFILES.values(), "auto"):
@@ -205,8 +216,7 @@ def compress(spark: SparkSession, q: CompressRequest) -> OperationStats:
             write(codec.global_header(code, mate is not None))
             checksums: list[int] = []
             records = bases = out = 0
-            for r in spark.read.schema(framing.FRAME_SCHEMA).parquet(folder).orderBy("chunk", "local").toLocalIterator():
-                f = codec.Frame(r.record_count, r.total_bases, (r.raw_ids_size, r.raw_sequences_size, r.raw_qualities_size), (bytes(r.ids), bytes(r.sequences), bytes(r.qualities)), r.checksum & (1 << 64) - 1)
+            for f in frames_in(store.parts(folder.removeprefix("file://"))):
                 write(f.header(len(checksums)))
                 for s in f.streams:
                     write(s)
@@ -275,7 +285,7 @@ def decompress(spark: SparkSession, q: DecompressRequest, sink: Callable[[bytes]
                 records, bases, out = text_parts(spark, path, q.memory, folder)
                 d.reconcile(records, bases)
                 decoding = time.time()
-                for part in parts_of(spark, folder):
+                for part in store.parts(folder.removeprefix("file://")):
                     store.appended(file, part)
                 writing = time.time()
     seconds = {"walk": walked - began, "decode": decoding - walked, "write": writing - decoding}
@@ -283,11 +293,6 @@ def decompress(spark: SparkSession, q: DecompressRequest, sink: Callable[[bytes]
     return OperationStats(PROFILES[d.profile], d.paired, len(d.frames), records, bases, d.size, out, seconds)
 
 
-def parts_of(spark: SparkSession, folder: str) -> list[str]:
-    """The text parts that tasks left, in order; as the driver opens them."""
-    return store.parts(folder.removeprefix("file://") if folder.startswith("file://") else folder)
-
-
 def verify(spark: SparkSession, q: VerifyRequest) -> OperationStats:
     """Decodes all, as decompress does, and writes nothing."""
     q.check()
