@@ -37,8 +37,10 @@ def test_all_but_two_have_sql():
 
 def test_checksums_against_the_library(spark):
     import xxhash
+    import zstandard
+    from pyspark.sql import functions as F
 
-    from readloom.functions.hashing import rolled
+    from readloom.functions.hashing import rolled, xxh64
     from readloom.operators.framing import numbered
     from readloom.queries import frames, reads
 
@@ -48,7 +50,15 @@ def test_checksums_against_the_library(spark):
         for x in (r.id, r.sequence, r.quality):
             h = xxhash.xxh64_intdigest(x.encode(), h)
         want[r.k] = h
-    assert {r.k: r.checksum & (1 << 64) - 1 for r in QUERIES["q_frame_checksum"](spark, SF).collect()} == want
+    each = reads(spark, SF).select("k", xxh64(spark, *[F.encode(c, "ISO-8859-1") for c in ("id", "sequence", "quality")]).alias("checksum"))
+    assert {r.k: r.checksum & (1 << 64) - 1 for r in each.collect()} == want
+    whole = {}
+    for f in numbered(frames(spark, SF)).collect():
+        h = 0
+        for x in (f.ids, f.sequences, f.qualities):
+            h = xxhash.xxh64_intdigest(zstandard.ZstdDecompressor().decompress(x), h)
+        whole[f.frame_id] = (f.record_count, h)
+    assert {r.frame_id: (r.record_count, r.checksum & (1 << 64) - 1) for r in QUERIES["q_frame_checksum"](spark, SF).collect()} == whole
     row = QUERIES["q_global_checksum"](spark, SF).first()
     sums = [r.checksum for r in numbered(frames(spark, SF)).orderBy("frame_id").collect()]
     assert (row.frames, row.checksum & (1 << 64) - 1) == (len(sums), rolled(sums))
