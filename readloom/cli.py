@@ -25,6 +25,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--frame-mib", type=int, default=64)
     c.add_argument("--quality-level", type=int, default=1, choices=range(1, 20))
     c.add_argument("--parse-workers", type=int, default=4, choices=range(65))
+    c.add_argument("--split-pairs", action="store_true", help="cut plain pairs into byte ranges, as unpaired files are")
     c.add_argument("-f", "--force", action="store_true")
     d = sub.add_parser("decompress", aliases=["d", "x"], parents=[common])
     d.add_argument("-i", "--input", required=True)
@@ -51,7 +52,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         memory = k.mib(a.memory_limit) if hasattr(a, "memory_limit") else k.codec.DEFAULT_MEMORY
         run = {"c": "compress", "d": "decompress", "x": "decompress", "v": "verify"}.get(a.command, a.command)
         if run == "compress":
-            q = k.CompressRequest(memory, a.input, a.output, a.mate, a.profile, k.mib(a.frame_mib), a.quality_level, a.parse_workers, a.force)
+            q = k.CompressRequest(memory, a.input, a.output, a.mate, a.profile, k.mib(a.frame_mib), a.quality_level, a.parse_workers, a.force, a.split_pairs)
         elif run == "decompress":
             q = k.DecompressRequest(memory, a.input, a.output, a.force)
         else:

@@ -33,7 +33,7 @@ from readloom.operators.profile import sample_prefix
 from readloom.sources import store
 from readloom.sources.archive import STREAMS, ArchiveSource, Directory, directory, plain
 from readloom.sources.container import container, spooled
-from readloom.sources.fastq import FastqSource
+from readloom.sources.fastq import FastqSource, pair_ranges
 
 log = logging.getLogger("readloom")
 MIB = 1 << 20
@@ -58,6 +58,8 @@ class CompressRequest(Limits):
     level: int = 1
     workers: int = 4
     force: bool = False
+    #: Plain pairs are cut into byte ranges too. Frames then begin anew in each, so the bytes aren't those of one scan.
+    split_pairs: bool = False
 
 
 @dataclass
@@ -160,10 +162,14 @@ def inputs(*paths: str | None) -> Iterator[list[str | None]]:
             os.unlink(p)
 
 
-def reads_of(spark: SparkSession, path: str, mate: str | None = None, workers: int = 1) -> DataFrame:
+def reads_of(spark: SparkSession, path: str, mate: str | None = None, workers: int = 1, split_pairs: bool = False, **how) -> DataFrame:
     register(spark)
-    r = spark.read.format("fastq").option("path", path).option("workers", workers)
-    return (r.option("mate", mate) if mate else r).load()
+    r = spark.read.format("fastq").options(path=path, workers=workers, **how)
+    if mate:
+        r = r.option("mate", mate)
+        if split_pairs and (pairs := pair_ranges(spark, path, mate, workers)):
+            r = r.option("pairs", pairs)
+    return r.load()
 
 
 def detect(spark: SparkSession, path: str, mate: str | None, bases: int) -> str:
@@ -175,11 +181,9 @@ def detect(spark: SparkSession, path: str, mate: str | None, bases: int) -> str:
     return got.profile
 
 
-def frames_of(spark: SparkSession, path: str, mate: str | None = None, workers: int = 1, **how) -> DataFrame:
+def frames_of(spark: SparkSession, path: str, mate: str | None = None, workers: int = 1, split_pairs: bool = False, **how) -> DataFrame:
     """The frames of a FASTQ input, encoded where they are parsed. Write it as Parquet for a sink without a driver's part."""
-    register(spark)
-    r = spark.read.format("fastq").options(path=path, workers=workers, mode="frames", **how)
-    return (r.option("mate", mate) if mate else r).load()
+    return reads_of(spark, path, mate, workers, split_pairs, mode="frames", **how)
 
 
 def frames_in(parts: list[str]) -> Iterator[codec.Frame]:
@@ -210,7 +214,7 @@ def compress(spark: SparkSession, q: CompressRequest) -> OperationStats:
         sampled = time.time()
         with published(spark, q.output, q.force) as (out_file, folder):
             write = out_file.write
-            frames_of(spark, path, mate, q.workers, target=min(q.frame_bytes, room // 8), level=q.level, memory=q.memory).write.parquet(folder)
+            frames_of(spark, path, mate, q.workers, q.split_pairs, target=min(q.frame_bytes, room // 8), level=q.level, memory=q.memory).write.parquet(folder)
             encoded = time.time()
             code = next(k for k, n in PROFILES.items() if n == name)
             write(codec.global_header(code, mate is not None))

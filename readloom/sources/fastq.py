@@ -1,21 +1,26 @@
 """The data source "fastq": reads of plain or gzipped files, in pairs if a mate is given, as rows in file order.
 
-A plain unpaired file is cut into byte ranges; a record belongs to the range in which its header begins. Gzip and
-pairs are one partition each. Rows have their place explicitly: (file, byte_offset), chunk and place in the chunk.
+A plain unpaired file is cut into byte ranges; a record belongs to the range in which its header begins. Gzip is one
+partition. So are pairs, unless pair_ranges() has told where the mates of each byte range of the first file begin. Rows
+have their place explicitly: (file, byte_offset), chunk and place in the chunk.
 
-Options: path, mate (R2 of path), workers (byte ranges; 0 or 1: one), start (byte to begin at), mode (reads, or frames:
-the encoded frames of each range, with target, level and memory; reads then never leave the task).
+Options: path, mate (R2 of path), workers (byte ranges; 0 or 1: one), start (byte to begin at), pairs (what pair_ranges()
+gives), mode (reads; frames: the encoded frames of each range, with target, level and memory, so that reads never leave
+the task; or counts: chunk, start, end and records of each range).
 """
 
 from __future__ import annotations
 
 import io
+import json
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate, islice
+from itertools import accumulate, chain, islice, zip_longest
 from typing import BinaryIO
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from readloom.errors import FORMAT, EngineError
@@ -23,6 +28,7 @@ from readloom.functions.codec import Read
 from readloom.sources.container import container, opened
 
 SCHEMA = "file string, chunk int, place bigint, byte_offset bigint, mate tinyint, id string, comment string, sequence string, quality string"
+COUNTS = "chunk int, begin bigint, finish bigint, records bigint"
 BATCH_BYTES = 8 << 20
 LARGE = 64
 #: Bytes that bulk() splits at once.
@@ -108,9 +114,19 @@ class Part(InputPartition):
     mate: str | None
     start: int
     end: int | None  # None: to the end
+    #: Of the mates: their range's number and first byte, the records of it to pass over, and how many follow (None: all).
+    mates: tuple[int, int, int, int | None]
 
-    def __init__(self, chunk: int, path: str, mate: str | None = None, start: int = 0, end: int | None = None):
-        self.chunk, self.path, self.mate, self.start, self.end = chunk, path, mate, start, end
+    def __init__(self, chunk: int, path: str, mate: str | None = None, start: int = 0, end: int | None = None, mates: tuple[int, int, int, int | None] = (0, 0, 0, None)):
+        self.chunk, self.path, self.mate, self.start, self.end, self.mates = chunk, path, mate, start, end, mates
+
+    def sides(self) -> tuple[Part, Part]:
+        """Both files of a pair, each as a part of its own; the second is to be read from mates on."""
+        return Part(self.chunk, self.path, None, self.start, self.end), Part(self.mates[0], self.mate, None, self.mates[1])
+
+    def mates_of(self, rows: Iterator) -> Iterator:
+        _, _, skip, count = self.mates
+        return islice(rows, skip, None if count is None else skip + count)
 
 
 def ranges(path: str, workers: int, start: int = 0) -> list[Part]:
@@ -122,20 +138,23 @@ def ranges(path: str, workers: int, start: int = 0) -> list[Part]:
     return [Part(k, path, None, a, b if k < workers - 1 else None) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
 
 
+def paired(one: Iterator, two: Iterator) -> Iterator[tuple]:
+    """Rows of both, in pairs; one longer than the other is an error."""
+    for a, b in zip_longest(one, two):
+        if a is None or b is None:
+            raise EngineError(FORMAT, "paired inputs have different record counts")
+        yield a, b
+
+
 def records(part: Part) -> Iterator[tuple[int, int, bytes, bytes, bytes, bytes]]:
-    """mate, offset, id, comment, sequence, quality. Pairs alternate; one file longer than the other is an error."""
+    """mate, offset, id, comment, sequence, quality. Pairs alternate."""
+    if part.mate is not None:
+        one, two = map(records, part.sides())
+        for a, b in paired(one, part.mates_of(two)):
+            yield 1, *a[1:]
+            yield 2, *b[1:]
+        return
     with opened(part.path) as f:
-        if part.mate is not None:
-            with opened(part.mate) as g:
-                one, two = Parser(f), Parser(g)
-                while True:
-                    a, b = one.read(), two.read()
-                    if (a is None) != (b is None):
-                        raise EngineError(FORMAT, "paired inputs have different record counts")
-                    if a is None:
-                        return
-                    yield 1, *a
-                    yield 2, *b
         at = part.start
         if part.chunk:  # the first range begins at a record, whatever it looks like
             found = first_record(f, at)
@@ -185,8 +204,9 @@ def regular(lines: list[bytes]) -> list[Read] | None:
 def bulk(part: Part) -> Iterator[list[Read]]:
     """What records() gives, without mates and offsets, many at a time: blocks of plain four-line records are split at once."""
     if part.mate is not None:
-        rows = iter(records(part))
-        while held := [r[2:] for r in islice(rows, 4096)]:
+        one, two = (chain.from_iterable(bulk(p)) for p in part.sides())
+        rows = chain.from_iterable(paired(one, part.mates_of(two)))
+        while held := list(islice(rows, 4096)):
             yield held
         return
     with opened(part.path) as f:
@@ -234,17 +254,46 @@ def bulk(part: Part) -> Iterator[list[Read]]:
             raise EngineError(FORMAT, f"no record can be told at byte {got[0]}")
 
 
+Count = tuple[int, int, int | None, int]
+
+
+def pair_cuts(one: list[Count], two: list[Count]) -> list[tuple[int, int | None, tuple[int, int, int, int]]]:
+    """start, end and mates of each range of the first file, from chunk, start, end and records of the ranges of both."""
+    first, of_mates = (list(accumulate((r[3] for r in side), initial=0)) for side in (one, two))
+    if first[-1] != of_mates[-1]:
+        raise EngineError(FORMAT, "paired inputs have different record counts")
+    out = []
+    for (_, start, end, n), done in zip(one, first[:-1], strict=True):
+        at = min(bisect_right(of_mates, done), len(two)) - 1
+        out.append((start, end, (at, two[at][1], done - of_mates[at], n)))
+    return out
+
+
+def pair_ranges(spark: SparkSession, path: str, mate: str, workers: int) -> str | None:
+    """The option "pairs" for byte ranges of path, from a count of the records of each range of both; None where one scan has to do.
+
+    A mate's record is known by its count only, so both files are read once more, in tasks; the driver gets two rows a range.
+    Of its mates' range a task passes over what belongs to earlier ones, a range at most.
+    """
+    if workers <= 1 or any(container(p)[0] != "none" for p in (path, mate)):
+        return None
+    counted = lambda p: sorted(tuple(r) for r in spark.read.format("fastq").options(path=p, workers=workers, mode="counts").load().collect())
+    return json.dumps(pair_cuts(counted(path), counted(mate)))
+
+
 class FastqReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.mate = options["path"], options.get("mate")
         self.workers, self.start = int(options.get("workers", 4)), int(options.get("start", 0))
-        self.mode = options.get("mode", "reads")
+        self.mode, self.pairs = options.get("mode", "reads"), options.get("pairs")
         self.how = {k: int(options[k]) for k in ("target", "level", "memory") if k in options}
 
     def partitions(self) -> list[Part]:
         if self.mate:
             for p in (self.path, self.mate):
                 container(p)
+            if self.pairs:
+                return [Part(k, self.path, self.mate, a, b, tuple(m)) for k, (a, b, m) in enumerate(json.loads(self.pairs))]
             return [Part(0, self.path, self.mate)]
         return ranges(self.path, self.workers, self.start)
 
@@ -254,6 +303,11 @@ class FastqReader(DataSourceReader):
 
             yield from encoded(((partition.chunk, b) for b in bulk(partition)), paired=partition.mate is not None, **self.how)
             return
+        if self.mode == "counts":
+            n = sum(map(len, bulk(partition)))
+            where = [pa.array([x], pa.int64()) for x in (partition.start, partition.end, n)]
+            yield pa.RecordBatch.from_arrays([pa.array([partition.chunk], pa.int32()), *where], names=["chunk", "begin", "finish", "records"])
+            return
         rows: list[tuple] = []
         size = place = 0
         for r in records(partition):
@@ -285,7 +339,7 @@ class FastqSource(DataSource):
             from readloom.operators.framing import FRAME_SCHEMA
 
             return FRAME_SCHEMA
-        return SCHEMA
+        return COUNTS if self.options.get("mode") == "counts" else SCHEMA
 
     def reader(self, schema) -> FastqReader:
         if "path" not in self.options:

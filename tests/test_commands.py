@@ -98,6 +98,25 @@ def test_command_line(spark, tmp_path, capfdbinary):
     assert not (tmp_path / "z").exists() and not [p for p in tmp_path.iterdir() if ".tmp." in p.name]
 
 
+@pytest.mark.parametrize("workers", [1, 3, 7])
+def test_split_pairs(spark, tmp_path, workers):
+    one, two, out, back = (tmp_path / x for x in ("1.fastq", "2.fastq", "a", "back"))
+    one.write_bytes(text(90))
+    two.write_bytes(text(90, seed=2))
+    whole = k.reads_of(spark, str(one), str(two)).select("mate", "id", "comment", "sequence", "quality").collect()
+    cut = k.reads_of(spark, str(one), str(two), workers, split_pairs=True)
+    assert cut.rdd.getNumPartitions() == workers
+    assert cut.orderBy("chunk", "place").drop("file", "chunk", "place", "byte_offset").collect() == whole
+    s = k.compress(spark, k.CompressRequest(input=str(one), output=str(out), mate=str(two), workers=workers, split_pairs=True, frame_bytes=4096))
+    assert (s.records, s.paired) == (180, True) and s.frames >= workers
+    k.decompress(spark, k.DecompressRequest(input=str(out), output=str(back)))
+    assert back.read_text() == "".join(f"@{r.id}{r.comment}\n{r.sequence}\n+\n{r.quality}\n" for r in whole)
+    (tmp_path / "2.gz").write_bytes(gzip.compress(two.read_bytes()))
+    assert k.reads_of(spark, str(one), str(tmp_path / "2.gz"), workers, split_pairs=True).rdd.getNumPartitions() == 1
+    two.write_bytes(text(89, seed=2))
+    assert main(["compress", "-1", str(one), "-2", str(two), "-o", str(tmp_path / "z"), "--split-pairs", "--parse-workers", str(workers)], spark) == 3
+
+
 def test_empty_input(spark, tmp_path):
     (tmp_path / "e.fastq.gz").write_bytes(b"")
     k.compress(spark, k.CompressRequest(input=str(tmp_path / "e.fastq.gz"), output=str(tmp_path / "a")))

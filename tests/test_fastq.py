@@ -7,7 +7,7 @@ import pytest
 from readloom.errors import FORMAT, IO, EngineError
 from readloom.sources import container
 from readloom.sources import fastq
-from readloom.sources.fastq import Parser, Part, bulk, first_record, ranges, records
+from readloom.sources.fastq import Parser, Part, bulk, first_record, pair_cuts, ranges, records
 
 
 def parsed(data):
@@ -116,6 +116,41 @@ def test_pairs(tmp_path):
         assert e.value.code == FORMAT
 
 
+def split_pairs(one, two, k):
+    """What all ranges of a pair give, read either way."""
+    counts = [[(p.chunk, p.start, p.end, sum(map(len, bulk(p)))) for p in ranges(str(x), k)] for x in (one, two)]
+    parts = [Part(c, str(one), str(two), a, b, m) for c, (a, b, m) in enumerate(pair_cuts(*counts))]
+    out = [r for p in parts for r in records(p)]
+    assert [r[2:] for r in out] == [r for p in parts for rows in bulk(p) for r in rows]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_ranges_of_pairs_give_what_one_scan_gives(tmp_path, seed):
+    rnd = random.Random(seed)
+    one, two = tmp_path / "1", tmp_path / "2"
+    n = rnd.choice([0, 1, 3, 60])
+    one.write_bytes(fuzz(rnd, n))
+    two.write_bytes(fuzz(rnd, n))
+    want = list(records(Part(0, str(one), str(two))))
+    assert len(want) == 2 * n and [r[2:] for r in want] == [r for rows in bulk(Part(0, str(one), str(two))) for r in rows]
+    for k in (2, 3, 4, 8, 33):
+        assert split_pairs(one, two, k) == want
+    two.write_bytes(two.read_bytes() + b"@more\nA\n+\nI\n")
+    for a, b in ((one, two), (two, one)):
+        with pytest.raises(EngineError) as e:
+            split_pairs(a, b, 4)
+        assert e.value.code == FORMAT
+
+
+def test_mates_that_all_lie_in_one_range(tmp_path):
+    one, two = tmp_path / "1", tmp_path / "2"
+    one.write_bytes(b"".join(b"@r%d/1\n%b\n+\n%b\n" % (k, b"A" * 50, b"I" * 50) for k in range(40)))
+    two.write_bytes(b"".join(b"@r%d/2\n%b\n+\n%b\n" % (k, *[(b"C" if k < 39 else b"C" * 9000)] * 2) for k in range(40)))
+    for k in (2, 5, 16):
+        assert [r[2] for r in split_pairs(one, two, k)] == [b"r%d/%d" % (k, m) for k in range(40) for m in (1, 2)]
+
+
 def test_containers(tmp_path):
     text = b"@a\nA\n+\nI\n"
     p = tmp_path / "plain.gz"
