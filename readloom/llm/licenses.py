@@ -228,6 +228,17 @@ RULES = rules()
 TOP = max(r.priority for r in RULES)
 
 
+def any_of(words: set[str]) -> str:
+    """A regular expression that finds a text if one of the words begins there: words that begin with another are left to it, and what some begin with is tried once."""
+    if "" in words:
+        return ""
+    parts = []
+    for c in sorted({w[0] for w in words}):
+        rest = any_of({w[1:] for w in words if w[0] == c})
+        parts.append(re.escape(c) + rest)
+    return f"(?:{'|'.join(parts)})" if len(parts) > 1 else parts[0]
+
+
 def words_of(text: Column) -> Column:
     """A text's words with a blank before, between and after them."""
     inner = F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
@@ -236,17 +247,17 @@ def words_of(text: Column) -> Column:
 
 def detections(docs: DataFrame, known: list[Rule] = RULES) -> DataFrame:
     """row, doc_id, n_words, and rule, label, priority, start, end, each detection of a document; nulls if it has none."""
-    # one literal table: an expression for each rule takes longer to plan than most inputs take to scan
-    table = F.array(*[F.struct(F.lit(k).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.keyword).alias("keyword"), F.lit(f"(?<= )(?:{r.pattern})(?= )").alias("pattern")) for k, r in enumerate(known)])
-    keywords = sorted({r.keyword for r in known})
-    gate = "|".join(k for k in keywords if not any(o != k and f" {k}".find(f" {o}") >= 0 for o in keywords))
+    # one literal table, parsed as one expression: an expression for each rule takes longer to plan than most inputs take to scan
+    row = "struct({} as rule, r'{}' as label, {} as priority, r'{}' as keyword, r'(?<= )(?:{})(?= )' as pattern)"
+    table = F.expr(f"array({', '.join(row.format(k, r.label, r.priority, r.keyword, r.pattern) for k, r in enumerate(known))})")
+    gate = any_of({r.keyword for r in known})
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), words_of(F.col("text")).alias("p"))
     spaces = lambda x: (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))).cast("long")
     # matches and what lies between them, each found once for a rule; a place is the blanks before it, less the first
     pairs = lambda r: F.arrays_zip(F.split(F.col("p"), r["pattern"], -1).alias("gap"), F.regexp_extract_all("p", r["pattern"], F.lit(0)).alias("hit"))
     each = lambda r: F.transform(F.filter(pairs(r), lambda x: x["hit"].isNotNull()), lambda x, i: F.struct(r["rule"].alias("rule"), r["label"].alias("label"), r["priority"].alias("priority"), i.alias("nth"), spaces(x["gap"]).alias("gap"), spaces(x["hit"]).alias("hit")))
     empty = F.expr("cast(array() as array<struct<rule:int,label:string,priority:int,nth:int,gap:bigint,hit:bigint>>)")
-    found = F.when(F.col("p").rlike(f" (?:{gate})"), F.flatten(F.transform(F.filter(table, lambda r: F.contains(F.col("p"), r["keyword"])), each))).otherwise(empty)
+    found = F.when(F.col("p").rlike(f" {gate}"), F.flatten(F.transform(F.filter(table, lambda r: F.contains(F.col("p"), r["keyword"])), each))).otherwise(empty)
     rows = rows.select("row", "doc_id", F.greatest(F.lit(0).cast("long"), F.when(F.col("p") == "  ", 0).otherwise(spaces(F.col("p")) - 1)).alias("n_words"), F.explode_outer(found).alias("d"))
     rows = stored(rows.select("row", "doc_id", "n_words", "d.*"))  # from here on a row keeps its number
     before = Window.partitionBy("row", "rule").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
