@@ -54,10 +54,10 @@ def decompress_peak(records: str, raw: list[str], coded: list[str]) -> Column:
     return total
 
 
-def totals(frames: DataFrame) -> DataFrame:
-    """frame_count, record_count, total_bases, encoded_bytes of a frames table."""
+def totals(frames: DataFrame, *by: str) -> DataFrame:
+    """frame_count, record_count, total_bases, encoded_bytes of a frames table. With by, frames that agree in it count as one."""
     size = F.length("ids") + F.length("sequences") + F.length("qualities")
-    return frames.agg(F.count("*").alias("frame_count"), F.coalesce(F.sum("record_count"), F.lit(0)).alias("record_count"), F.coalesce(F.sum("total_bases"), F.lit(0)).alias("total_bases"), F.coalesce(F.sum(size.cast("long") + 72), F.lit(0)).alias("encoded_bytes"))
+    return frames.agg((F.count_distinct(*by) if by else F.count("*")).alias("frame_count"), F.coalesce(F.sum("record_count"), F.lit(0)).alias("record_count"), F.coalesce(F.sum("total_bases"), F.lit(0)).alias("total_bases"), F.coalesce(F.sum(size.cast("long") + 72), F.lit(0)).alias("encoded_bytes"))
 
 
 def logical_bytes(reads: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each query with SQL gives what DuckDB gives for it, in values, names and types."""
 
 import os
+from functools import partial
 
 import duckdb
 import pytest
@@ -31,6 +32,17 @@ def test_against_sql(spark, duck, name):
     assert got == sorted((tuple(r[k] for k in at) for r in want.fetchall()), key=repr)
 
 
+def test_totals_of_chunks_of_several_frames(spark, duck, monkeypatch):
+    from readloom.operators import framing
+    from readloom.queries import frames
+
+    monkeypatch.setattr(framing, "encode", partial(framing.encode, target=1 << 14))
+    assert frames(spark, SF).count() > 16
+    row = QUERIES["q_totals"](spark, SF).first()
+    want = duck.sql(SQL["q_totals"])
+    assert row.asDict() == dict(zip(want.columns, want.fetchall()[0], strict=True))
+
+
 def test_all_but_two_have_sql():
     assert set(QUERIES) - set(SQL) == {"q_frame_checksum", "q_global_checksum"}
 
