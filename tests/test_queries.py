@@ -32,14 +32,15 @@ def test_against_sql(spark, duck, name):
     assert got == sorted((tuple(r[k] for k in at) for r in want.fetchall()), key=repr)
 
 
-def test_totals_of_chunks_of_several_frames(spark, duck, monkeypatch):
+@pytest.mark.parametrize("name", ["q_totals", "q_operation_stats"])
+def test_totals_of_chunks_of_several_frames(spark, duck, monkeypatch, name):
     from readloom.operators import framing
     from readloom.queries import frames
 
     monkeypatch.setattr(framing, "encode", partial(framing.encode, target=1 << 14))
     assert frames(spark, SF).count() > 16
-    row = QUERIES["q_totals"](spark, SF).first()
-    want = duck.sql(SQL["q_totals"])
+    row = QUERIES[name](spark, SF).first()
+    want = duck.sql(SQL[name])
     assert row.asDict() == dict(zip(want.columns, want.fetchall()[0], strict=True))
 
 
