@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 #: Words whose encoding a Python worker keeps, twice: when they are more, those before the last so many go.
 CACHE_WORDS = 150_000
 
@@ -224,4 +226,4 @@ def encode_documents(docs: DataFrame, path: str, *, with_ids: bool = False, carr
             yield pa.RecordBatch.from_arrays(cols + batch.columns[2:], names=["doc_id", *(f.name for f in kept), *carried])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + "".join(f", {c} long" for c in carried)
-    return docs.select(F.col("doc_id").cast("long"), "text", *carried).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text", *carried), run, schema)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, digest, own_names, small_or_not, stored
+from .common import SPACE, ascii_lower, digest, map_batches, own_names, small_or_not, stored
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -98,7 +98,7 @@ def features(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, line)], names=[f[0] for f in fields])
 
     schema = "doc_id long, host string, digest binary, " + ", ".join(f"{c} long" for c in COUNTS) + ", lines array<struct<h:long,words:int>>"
-    out = docs.select(F.col("doc_id").cast("long"), F.coalesce("source", F.lit("")).alias("host"), "text").mapInArrow(run, schema)
+    out = map_batches(docs.select(F.col("doc_id").cast("long"), F.coalesce("source", F.lit("")).alias("host"), "text"), run, schema)
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import own_names, shared_dir, small_or_not, stored
+from .common import map_batches, own_names, shared_dir, small_or_not, stored
 
 
 @dataclass(frozen=True)
@@ -95,7 +95,7 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             spans = [[dict(zip(names, x, strict=True)) for x in find(t.as_py())] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=["blob", "spans"])
 
-    return blobs.select("blob", "text").mapInArrow(run, f"blob binary, spans {SPANS}")
+    return map_batches(blobs.select("blob", "text"), run, f"blob binary, spans {SPANS}")
 
 
 class Ledger:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_names, small_or_not, stored
+from .common import map_batches, own_names, small_or_not, stored
 from .components import components
 
 TILE = 2048
@@ -136,7 +136,7 @@ def fingerprints(docs: DataFrame, method: Method) -> DataFrame:
                 bands.append([signed(xxhash.xxh64_intdigest(repr((k, low[k * method.rows : (k + 1) * method.rows])))) for k in range(method.bands)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, longs), pa.array(bands, longs), pa.array(names, pa.binary())], names=["doc_id", "text_hash", "fp", "bands", "name"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, fp array<long>, bands array<long>, name binary")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text"), run, "doc_id long, text_hash long, fp array<long>, bands array<long>, name binary")
 
 
 def exact_keys(fp: Column) -> Column:
@@ -251,7 +251,7 @@ def compared(rows: DataFrame, method: Method) -> DataFrame:
         if held is not None and len(held):
             yield compare(held.combine_chunks())
 
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").filter("a <> b")
+    return map_batches(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), run, "a long, b long").filter("a <> b")
 
 
 def links(nodes: DataFrame, method: Method) -> DataFrame:
@@ -278,7 +278,7 @@ def sets(docs: DataFrame, connected: DataFrame, method: Method) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps, pa.array([x.astype("<u8").tobytes() for x in h], pa.binary())], names=["key", "node", "fp", "shingles"])
 
     rows = docs.select(F.xxhash64("text").alias("node"), "text").join(small_or_not(connected), "node").select(F.col("root").alias("key"), "node", "text")
-    return rows.dropDuplicates(["key", "node", "text"]).mapInArrow(run, "key long, node long, fp array<long>, shingles binary")
+    return map_batches(rows.dropDuplicates(["key", "node", "text"]), run, "key long, node long, fp array<long>, shingles binary")
 
 
 def alike(pairs: Iterator[tuple[np.ndarray, np.ndarray]], shingles: list[np.ndarray], percent: int) -> np.ndarray:

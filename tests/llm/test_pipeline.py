@@ -3,10 +3,11 @@ import random
 from collections import Counter
 
 import odd
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from readloom.llm import mixing, quality, secrets
+from readloom.llm import bpe, common, mixing, quality, secrets, simhash
 from readloom.llm.queries import vocabulary
 
 
@@ -88,3 +89,31 @@ def test_columns_of_any_name_stay_through_all_stages_but_the_last(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, "")
         assert out.columns == docs.columns and out.count() > 0
+
+
+STEPS = {
+    "features": quality.features,
+    "fingerprints": lambda docs: simhash.fingerprints(docs, simhash.NEAR),
+    "sets": lambda docs: simhash.sets(docs, docs.selectExpr("xxhash64(text) as node", "0L as root"), simhash.NEAR),
+    "scan": lambda docs: secrets.scan(docs.selectExpr("cast(cast(doc_id as string) as binary) as blob", "text"), secrets.RULES),
+    "encoding": lambda docs: bpe.encode_documents(docs, vocabulary()),
+}
+
+
+@pytest.mark.parametrize("step", STEPS)
+def test_python_workers_get_few_bytes_at_once(spark, monkeypatch, step):
+    frame = type(spark.range(0))
+
+    def bounded(run):
+        def checked(batches):
+            for batch in batches:
+                assert batch.nbytes < 4 << 20
+                yield batch
+
+        return lambda batches: run(checked(batches))
+
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, run, schema, plain=frame.mapInArrow: plain(self, bounded(run), schema))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    text = "concat_ws(' ', transform(sequence(1, 2500), i -> concat('w', pmod(xxhash64(id, i), 1000)))) as text"
+    docs = common.stored(spark.range(0, 1000, 1, 1).selectExpr("id as doc_id", text, "'a' as source")).coalesce(1)
+    assert STEPS[step](docs).count() == 1000
